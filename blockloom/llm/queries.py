@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import jaccard
+from blockloom.llm import bpe, idstore, jaccard
+
+#: The tokenizer file of the queries, by its public name.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +27,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return idstore.read(idstore.write(docs, _tokenizer(), idstore.new_folder(docs), end_id=2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_jaccard_join,)
+    found = (op4_jaccard_join, op5_bpe, op10_token_ids)
     return {f.__name__: f for f in found}
 
 
