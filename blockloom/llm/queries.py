@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import bpe, idstore, jaccard
+from blockloom.llm import bpe, idstore, jaccard, langid, toxicity
 
 #: The tokenizer file of the queries, by its public name.
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs, ~langid.held_out("doc_id"))
+    found = langid.identify(docs, profiles)
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return jaccard.similar_sets(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -37,7 +49,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_jaccard_join, op5_bpe, op10_token_ids)
+    found = (op1_toxicity, op2_language_id, op4_jaccard_join, op5_bpe, op10_token_ids)
     return {f.__name__: f for f in found}
 
 

@@ -92,6 +92,17 @@ def words(buf: np.ndarray, off: np.ndarray, separators: np.ndarray = WHITE, lowe
     return mix((sums[en] - sums[st]) * _power("down", _INVERSE, n + 1)[st]), st, en, np.searchsorted(st, off)
 
 
+def prefixes(buf: np.ndarray, st: np.ndarray, en: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are longer than ``length`` bytes, and the hashes of their first ``length`` bytes."""
+    n = len(buf)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_VALUES[_LOWER[buf]] * _power("up", _BASE, n + 1)[:n], out=sums[1:])
+    long = np.flatnonzero(en - st > length)
+    a = st[long]
+    return long, mix((sums[a + length] - sums[a]) * _power("down", _INVERSE, n + 1)[a] + np.uint64(length))
+
+
 def shingles(word: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of k words, and the texts' offsets; a shorter text with words is one shingle."""
     n = np.diff(off)
