@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from blockloom.llm import bpe, idstore, jaccard, langid, toxicity
+from blockloom.llm import bpe, fingerprint, idstore, jaccard, langid, mixing, sharding, toxicity
 
 #: The tokenizer file of the queries, by its public name.
 TOKENIZER = "word_bpe_49k.json"
@@ -43,13 +44,35 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.sized(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.spelt(own).alias("fingerprint"),
+        fingerprint.spelt(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"),
+        fingerprint.likeness(own, following).alias("near_next"),
+    )
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return idstore.read(idstore.write(docs, _tokenizer(), idstore.new_folder(docs), end_id=2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_language_id, op4_jaccard_join, op5_bpe, op10_token_ids)
+    found = (op1_toxicity, op2_language_id, op4_jaccard_join, op5_bpe, op6_mixing, op7_sharding, op8_fingerprints, op10_token_ids)
     return {f.__name__: f for f in found}
 
 
