@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import bpe, fingerprint, idstore, jaccard, langid, mixing, sharding, toxicity
+from blockloom.llm import bpe, fingerprint, idstore, jaccard, langid, licenses, mixing, sharding, topk, toxicity
 
 #: The tokenizer file of the queries, by its public name.
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return jaccard.similar_sets(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -66,13 +70,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return idstore.read(idstore.write(docs, _tokenizer(), idstore.new_folder(docs), end_id=2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_language_id, op4_jaccard_join, op5_bpe, op6_mixing, op7_sharding, op8_fingerprints, op10_token_ids)
+    found = (op1_toxicity, op2_language_id, op3_topk, op4_jaccard_join, op5_bpe, op6_mixing, op7_sharding, op8_fingerprints, op9_licenses, op10_token_ids)
     return {f.__name__: f for f in found}
 
 
