@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.cluster import BROADCAST_ROWS, cut
+from blockloom.llm.cluster import BROADCAST_ROWS, checked_broadcast, cut
 
 #: Documents of one source that are ordered together.
 GROUP = 2_000
@@ -85,10 +85,10 @@ def mix(rows: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float
     return joined.select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", (whole * F.col("size") + once_more).cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, rounded to whole documents."""
-    key = [F.col(id_col).eqNullSafe(F.col("_id")), F.col(source_col).cast("string").eqNullSafe(F.col("_source")), n_words(text_col) == F.col("_size")]
-    times = taken.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
+def repeated(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, rounded to whole documents; those without words go."""
+    times = taken.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
     times = times.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0")
-    matched = docs.join(times, key[0] & key[1] & key[2])
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+    matched = docs.join(checked_broadcast(cut(times)), same)
     return matched.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
