@@ -72,14 +72,16 @@ def is_uuid(text: Column) -> Column:
 
 def url_issue(url: Column, host: str, port: int) -> Column:
     """Why a data URL is not admitted, or null; the host ``*`` stands for the endpoint's."""
+    length = F.octet_length(url)
+    url = F.regexp_replace(url, r"^([A-Za-z]+://)\*(?=[:/])", f"$1{host}")
     told = F.try_parse_url(url, F.lit("HOST"))
     at = F.coalesce(F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":([0-9]+)$", 1).try_cast("int"), F.lit(443))
     path = F.try_parse_url(url, F.lit("PATH"))
     return (
-        F.when(F.octet_length(url) > 4096, "length")
+        F.when(length > 4096, "length")
         .when(F.try_parse_url(url, F.lit("PROTOCOL")).isNull() | told.isNull(), "shape")
         .when(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) != "https", "scheme")
-        .when((told != "*") & (F.lower(told) != host), "host")
+        .when(F.lower(told) != host, "host")
         .when(at != port, "port")
         .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "user")
         .when(F.try_parse_url(url, F.lit("REF")).isNotNull(), "fragment")
