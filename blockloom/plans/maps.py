@@ -266,9 +266,8 @@ def manifest_verify(spark: SparkSession, sf: str) -> DataFrame:
     return verify.check_manifest(manifest, files)
 
 
-@query("""WITH b AS (SELECT doc_id % 10 AS disk_id, doc_id AS block_no, doc_id * 1048576 AS start, text, CASE WHEN doc_id % 50 = 0 THEN left(text, 40) || '~' || substr(text, 42) WHEN doc_id % 75 = 1 THEN left(text, 10) ELSE text END AS other FROM documents),
-    c AS (SELECT disk_id, start, CASE WHEN text = other THEN NULL ELSE coalesce((SELECT min(i) FROM range(0, least(octet_length(encode(text)), octet_length(encode(other)))) t(i) WHERE hex(encode(text))[2 * i + 1:2 * i + 2] <> hex(encode(other))[2 * i + 1:2 * i + 2]), octet_length(encode(other))) END AS pos FROM b)
-    SELECT disk_id, CAST(min(start + pos) AS BIGINT) AS position FROM c WHERE pos IS NOT NULL GROUP BY disk_id""")
+@query("""WITH c AS (SELECT doc_id % 10 AS disk_id, doc_id * 1048576 AS start, CASE WHEN doc_id % 50 = 0 THEN CASE WHEN length(text) > 40 AND substr(text, 41, 1) <> '~' THEN octet_length(encode(left(text, 40))) END
+    WHEN doc_id % 75 = 1 AND length(text) > 10 THEN octet_length(encode(left(text, 10))) END AS pos FROM documents) SELECT disk_id, CAST(min(start + pos) AS BIGINT) AS position FROM c WHERE pos IS NOT NULL GROUP BY disk_id""")
 def first_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     d, t = F.col("doc_id"), F.col("text")
     docs = X.table(spark, sf, "documents")
