@@ -215,3 +215,52 @@ def completion(work: DataFrame, key: str = "disk_id") -> DataFrame:
     total = F.sum("length").over(w)
     fraction = F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / total)))
     return work.withColumn("fraction", fraction)
+
+
+# Exit codes by status, and which of several errors counts: the last one that is there.
+EXIT_CODES = {"assessed": 0, "completed": 0, "failed": 1, "output": 1, "invalid_request": 2, "uncertain": 3, "cancelled": 130}
+PRECEDENCE = ["assessed", "completed", "invalid_request", "output", "cancelled", "failed", "uncertain"]
+
+
+def exit_codes(outcomes: DataFrame, key: str, status: str) -> DataFrame:
+    """A run's status is its weightiest one; with it the exit code."""
+    rank = F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col(status))
+    worst = outcomes.groupBy(key).agg(F.max_by(status, rank).alias("status"))
+    return worst.withColumn("code", _map(EXIT_CODES)[F.col("status")])
+
+
+def first_failures(events: DataFrame, key: str, order: str, error: str) -> DataFrame:
+    """Each key's earliest error."""
+    return events.where(F.col(error).isNotNull()).groupBy(key).agg(F.min_by(error, order).alias("error"), F.min(order).alias("at"))
+
+
+def unconserved(transfers: DataFrame) -> DataFrame:
+    """Transfers whose received, written and durable bytes are not all the same."""
+    return transfers.where("received <> written or written <> durable or received is null or written is null or durable is null")
+
+
+# Task states and the operations that are told apart.
+TASK_STATES = ["queued", "running", "success", "error"]
+TASK_NAMES = {
+    "VirtualMachine.exportVm": "export_vm",
+    "vim.VirtualMachine.exportVm": "export_vm",
+    "VirtualMachine.powerOn": "power_on",
+    "vim.VirtualMachine.powerOn": "power_on",
+    "VirtualMachine.powerOff": "power_off",
+    "vim.VirtualMachine.powerOff": "power_off",
+    "VirtualMachine.reconfigure": "reconfigure",
+    "vim.VirtualMachine.reconfigure": "reconfigure",
+}
+MOST_TASKS = 32
+
+
+def recent_tasks(tasks: DataFrame) -> DataFrame:
+    """(owner, reference, state, operation, issue) of task lists (owner, entity, reference, state, name): a list that is
+    too long, repeats a reference, names another entity (null names none) or an unknown state is told row by row; other
+    names are ``other``."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("owner")
+    many, again = F.count(F.lit(1)).over(own) > MOST_TASKS, F.count(F.lit(1)).over(Window.partitionBy("owner", "reference")) > 1
+    issue = F.when(many, "too many").when(again, "duplicate").when(F.col("entity") != F.col("owner"), "entity").when(~F.col("state").isin(*TASK_STATES), "state")
+    return tasks.select("owner", "reference", "state", F.coalesce(_map(TASK_NAMES)[F.col("name")], F.lit("other")).alias("operation"), issue.alias("issue"))

@@ -77,3 +77,35 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def extremes(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """First and last value of a key by an order, with the extremes of the order."""
     return rows.groupBy(key).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.min(order).alias("from_"), F.max(order).alias("to_"), F.max(value).alias("peak"))
+
+
+def paired_deltas(rows: DataFrame, keys: list[str], variant: str, value: str, baseline: str, candidate: str) -> DataFrame:
+    """Candidate less baseline, and in per cent, where a group has exactly one row of each; other groups are named."""
+    sides = [F.collect_list(F.when(F.col(variant) == v, F.col(value))) for v in (baseline, candidate)]
+    got = rows.groupBy(*keys).agg(sides[0].alias("_b"), sides[1].alias("_c"))
+    one = (F.size("_b") == 1) & (F.size("_c") == 1)
+    b, c = F.get("_b", F.lit(0)), F.get("_c", F.lit(0))
+    return got.select(*keys, F.when(one, c - b).alias("delta"), F.when(one, 100 * (c / b - 1)).alias("delta_percent"), F.when(~one, "not paired").alias("issue"))
+
+
+def phase_sums(events: DataFrame, key: str, order: str, at: str, tolerance: float = 1e-6) -> DataFrame:
+    """Per key: the sum of the steps between its events, last less first, and whether steps are never negative."""
+    from pyspark.sql import Window
+
+    step = F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(order))
+    got = events.withColumn("_step", step).groupBy(key).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("steps"), (F.max_by(at, order) - F.min_by(at, order)).alias("whole"), F.coalesce(F.min("_step") >= 0, F.lit(True)).alias("monotone"))
+    return got.withColumn("consistent", F.abs(F.col("steps") - F.col("whole")) <= tolerance)
+
+
+def exact_medians(rows: DataFrame, key: str, value: str, runs: int = 3) -> DataFrame:
+    """Medians of keys with exactly so many runs."""
+    return rows.groupBy(key).agg(F.median(value).alias("median"), F.count("*").alias("n")).where(F.col("n") == runs).drop("n")
+
+
+def broken_alternation(rows: DataFrame, pair: str, order: str, backend: str, first: str, second: str) -> DataFrame:
+    """Runs whose backend is not the one that their pair's parity and their place call for."""
+    from pyspark.sql import Window
+
+    place = (F.row_number().over(Window.partitionBy(pair).orderBy(order)) - 1) % 2
+    expected = F.when((F.col(pair) + place) % 2 == 0, first).otherwise(second)
+    return rows.withColumn("expected", expected).where(F.col(backend) != F.col("expected"))

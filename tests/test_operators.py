@@ -208,3 +208,18 @@ def test_streaming_journal_twin(spark, tmp_path):
     q = illegal_steps(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["artifact"], r["sequence"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_stream_records_source(spark, tmp_path):
+    from blockloom.plans.more import stream_file
+    from blockloom.sources import streams
+
+    data = {0: bytes(65536), 256: random.Random(1).randbytes(65536), 1024: bytes(range(256)) * 256}
+    (tmp_path / "s.img").write_bytes(stream_file(data))
+    (tmp_path / "t.img").write_bytes(stream_file({512: bytes(65536), 256: bytes(65536)})[:-512])
+    spark.dataSource.register(streams.StreamRecords)
+    df = spark.read.format("stream_records").option("path", f"{tmp_path}/s.img,{tmp_path}/t.img").load()
+    good = df.where(F.col("disk_id").endswith("s.img"))
+    assert [(r["kind"], r["sector"]) for r in good.orderBy("record").collect()] == [("grain", 0), ("grain", 256), ("grain", 1024), ("end", None)]
+    assert streams.violations(good).count() == 0
+    assert sorted((r["record"], r["check"]) for r in streams.violations(df).collect()) == [(1, "no end"), (1, "order")]
