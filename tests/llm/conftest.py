@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import re
-
 import pytest
 
 TEXT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,13 +28,3 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], TEXT)
-
-
-def words(text: str | None) -> list[str]:
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(r"[^\x20\x09-\x0D]+", low)
-
-
-def shingles(text: str | None, k: int) -> frozenset:
-    w = words(text)
-    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import words
+from helpers import words
 from pyspark.sql import functions as F
 
 from blockloom.llm import langid, mixing, sharding, topk, toxicity
@@ -224,7 +224,7 @@ def test_pipeline_stages(spark, small, tmp_path):
     model = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
     assert set(ids[1]) == {r["doc_id"] for r in toxicity.score(docs, model).where("not is_toxic").collect()}
     assert set(ids[2]) <= set(ids[1]) and len(ids[2]) > 0.95 * len(ids[1])
-    from conftest import shingles
+    from helpers import shingles
 
     texts = [(r["doc_id"], shingles(r["text"], 5)) for r in seen[3].collect()]
     assert not any(x and 10 * len(x & y) >= 8 * len(x | y) for n, (_, x) in enumerate(texts) for _, y in texts[:n])

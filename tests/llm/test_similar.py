@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import shingles
+from helpers import shingles
 
 from blockloom.llm import fingerprint, jaccard, licenses
 
