@@ -264,3 +264,51 @@ def recent_tasks(tasks: DataFrame) -> DataFrame:
     many, again = F.count(F.lit(1)).over(own) > MOST_TASKS, F.count(F.lit(1)).over(Window.partitionBy("owner", "reference")) > 1
     issue = F.when(many, "too many").when(again, "duplicate").when(F.col("entity") != F.col("owner"), "entity").when(~F.col("state").isin(*TASK_STATES), "state")
     return tasks.select("owner", "reference", "state", F.coalesce(_map(TASK_NAMES)[F.col("name")], F.lit("other")).alias("operation"), issue.alias("issue"))
+
+
+def acknowledgments(intents: DataFrame, candidates: DataFrame, key: str = "output") -> DataFrame:
+    """(output, issue) of publications whose acknowledgment was interrupted: the pending record must be the intent's in
+    everything but state (published) and sequence (8), and be another file.
+
+    Both tables have the key, state, sequence, pending, inode and fields that must agree (record, any type).
+    """
+    c = candidates.select(key, F.col("state").alias("_state"), F.col("sequence").alias("_sequence"), F.col("inode").alias("_inode"), F.col("record").alias("_record"))
+    both = intents.join(c, key, "left")
+    issue = (
+        F.when((F.col("state") != "publish_intent") | ~F.col("pending") | F.col("_state").isNull(), "transition")
+        .when((F.col("_state") != "published") | (F.col("_sequence") != 8) | ~F.col("_record").eqNullSafe(F.col("record")), "record")
+        .when(F.col("_inode") == F.col("inode"), "same file")
+    )
+    return both.select(key, issue.alias("issue"))
+
+
+# The states from which local resources may be cleaned up.
+CLEANABLE_JOBS = ["staged", "completed_lease", "aborted_lease", "cleanup_intent"]
+
+
+def cleanup_issues(jobs: DataFrame, key: str = "artifact") -> DataFrame:
+    """(artifact, issue): why a job's local resources may not be removed, or null.  A job names the operation that asks
+    (asked) and its own (operation), its state and whether a transaction is pending; a cleaned job may be asked again."""
+    issue = (
+        F.when(F.col("asked") != F.col("operation"), "identity")
+        .when(F.col("pending"), "uncertain")
+        .when((F.col("state") != "cleaned") & ~F.col("state").isin(*CLEANABLE_JOBS), "transition")
+    )
+    return jobs.select(key, issue.alias("issue"))
+
+
+# Bounds of a transfer's options.
+MOST_ENCODED, LEAST_ENCODED, MOST_SECONDS = 1 << 40, 512, 21_600
+
+
+def option_violations(options: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, check) for transfer options outside their bounds."""
+    checks = [
+        ("capacity", F.col("capacity") <= 0),
+        ("encoded bytes", (F.col("max_encoded") < LEAST_ENCODED) | (F.col("max_encoded") > MOST_ENCODED)),
+        ("timeout", (F.col("timeout") <= 0) | (F.col("timeout") > MOST_SECONDS)),
+        ("output", ~F.col("probe") & (F.coalesce("output", F.lit("")) == "")),
+        ("inspect", F.col("inspect") & (~F.col("probe") | F.col("shutdown"))),
+    ]
+    named = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), n) for n, c in checks]))
+    return options.select(*keys, F.explode(named).alias("check"))

@@ -139,3 +139,58 @@ def fixture_maps(spark: SparkSession, sf: str) -> DataFrame:
     by_file = ranges.overlapping_regions(m).select("disk_id", "start", F.lit("file").alias("order"))
     moved = m.withColumn("start", F.when(F.col("seq") % 5 == 0, F.col("start") - 512).otherwise(F.col("start")))
     return by_file.unionByName(ranges.overlapping_regions(moved).select("disk_id", "start", F.lit("disk").alias("order")))
+
+
+@query("""WITH i AS (SELECT event_id AS output, CASE WHEN event_id % 5 = 0 THEN 'published' ELSE 'publish_intent' END AS state, event_id % 7 > 0 AS pending, event_id AS inode, props AS record FROM events),
+    c AS (SELECT event_id AS output, CASE WHEN event_id % 11 = 0 THEN 'verified' ELSE 'published' END AS cs, CASE WHEN event_id % 13 = 0 THEN 7 ELSE 8 END AS cq, event_id + event_id % 3 AS ci, CASE WHEN event_id % 17 = 0 THEN props || 'x' ELSE props END AS cr FROM events WHERE event_id % 19 > 0)
+    SELECT output, CASE WHEN state <> 'publish_intent' OR NOT pending OR cs IS NULL THEN 'transition' WHEN cs <> 'published' OR cq <> 8 OR cr <> record THEN 'record' WHEN ci = inode THEN 'same file' END AS issue FROM i LEFT JOIN c USING (output)""")
+def acknowledgment_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    e, t = F.col("event_id"), X.table(spark, sf, "events")
+    intents = t.select(e.alias("output"), F.when(e % 5 == 0, "published").otherwise("publish_intent").alias("state"), F.lit(7).alias("sequence"), (e % 7 > 0).alias("pending"), e.alias("inode"), F.col("props").alias("record"))
+    candidates = t.where("event_id % 19 > 0").select(
+        e.alias("output"), F.when(e % 11 == 0, "verified").otherwise("published").alias("state"), F.when(e % 13 == 0, 7).otherwise(8).alias("sequence"), (e + e % 3).alias("inode"), F.when(e % 17 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props")).alias("record")
+    )
+    return journal.acknowledgments(intents, candidates)
+
+
+@query(with_("journal", """, l AS (SELECT artifact, sequence, CASE WHEN sequence % 4 = 0 THEN 'cleaned' WHEN sequence % 4 = 1 THEN 'staged' ELSE state END AS state, sequence % 5 = 0 AS pending, sequence % 3 = 0 AS foreign_ FROM journal)
+    SELECT artifact * 100000 + sequence AS job, CASE WHEN foreign_ THEN 'identity' WHEN pending THEN 'uncertain' WHEN state NOT IN ('cleaned', 'staged', 'completed_lease', 'aborted_lease', 'cleanup_intent') THEN 'transition' END AS issue FROM l"""))
+def cleanup_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("sequence")
+    jobs = X.journal(spark, sf).select(
+        (F.col("artifact") * 100000 + s).alias("job"), F.when(s % 4 == 0, "cleaned").when(s % 4 == 1, "staged").otherwise(F.col("state")).alias("state"), (s % 5 == 0).alias("pending"), F.lit(1).alias("operation"), F.when(s % 3 == 0, 2).otherwise(1).alias("asked")
+    )
+    return journal.cleanup_issues(jobs, "job")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 9 AS capacity, o_orderkey % 3000 AS max_encoded, (o_orderkey % 30) * 1000 AS timeout, o_orderkey % 2 = 0 AS probe, o_orderkey % 3 = 0 AS inspect, o_orderkey % 5 = 0 AS shutdown, CASE WHEN o_orderkey % 7 > 0 THEN 'out' END AS output FROM orders)
+    SELECT id, 'capacity' AS "check" FROM o WHERE capacity <= 0 UNION ALL SELECT id, 'encoded bytes' FROM o WHERE max_encoded < 512 UNION ALL SELECT id, 'timeout' FROM o WHERE timeout <= 0 OR timeout > 21600
+    UNION ALL SELECT id, 'output' FROM o WHERE NOT probe AND output IS NULL UNION ALL SELECT id, 'inspect' FROM o WHERE inspect AND (NOT probe OR shutdown)""")
+def transfer_options(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    options = X.table(spark, sf, "orders").select(
+        k.alias("id"), (k % 9).alias("capacity"), (k % 3000).alias("max_encoded"), (k % 30 * 1000).alias("timeout"), (k % 2 == 0).alias("probe"), (k % 3 == 0).alias("inspect"), (k % 5 == 0).alias("shutdown"), F.when(k % 7 > 0, "out").alias("output")
+    )
+    return journal.option_violations(options, ["id"])
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'unknown field' WHEN 2 THEN 'missing field' WHEN 3 THEN 'version' WHEN 4 THEN 'id' END AS issue, CASE WHEN event_id % 5 = 0 THEN 3600 WHEN event_id % 5 = 1 THEN event_id END AS timeout_seconds FROM events""")
+def recovery_configs(spark: SparkSession, sf: str) -> DataFrame:
+    from blockloom.sources import records
+
+    e = F.col("event_id")
+    ids = F.lit('"artifact_id":"00112233445566778899aabbccddeeff","output_id":"00112233445566778899aabbccddeeff"')
+    body = F.concat(
+        F.lit('{"schema_version":'), F.when(e % 5 == 3, "2").otherwise("1"), F.lit(',"endpoint":"e","certificate_sha256":"c","pin_provenance":"p","store":"s",'), F.when(e % 5 == 2, "").otherwise('"destination":"d",'),
+        F.lit('"selection":{"vm_reference":"v","bios_uuid":"u","disk_key":1,"backing":"b","logical_bytes":512},'), F.when(e % 5 == 4, F.replace(ids, F.lit("ff"), F.lit("fg"))).otherwise(ids),
+        F.when(e % 5 == 1, F.concat(F.lit(',"extra":1,"timeout_seconds":'), e)).otherwise(""), F.lit("}"),
+    )
+    return records.recovery_configs(X.table(spark, sf, "events").select("event_id", body.alias("body"))).select("event_id", "issue", "timeout_seconds")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a/é' ELSE 'a' || chr(65533) END AS display, CASE WHEN event_id % 2 = 1 THEN '61ff' END AS bytes_hex FROM events""")
+def path_reports(spark: SparkSession, sf: str) -> DataFrame:
+    from blockloom.sources import records
+
+    path = F.when(F.col("event_id") % 2 == 0, F.lit("a/é").cast("binary")).otherwise(F.unhex(F.lit("61FF")))
+    return records.path_reports(X.table(spark, sf, "events").select("event_id", path.alias("path"))).select("event_id", "display", "bytes_hex")

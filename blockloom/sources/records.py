@@ -73,3 +73,34 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     now = after.select("path", F.col("size").alias("_s"), F.col("modified").alias("_m"))
     both = before.join(now, "path", "left")
     return both.where(F.col("_s").isNull() | (F.col("_s") != F.col("size")) | (F.col("_m") != F.col("modified"))).select("path", F.col("_s").isNull().alias("gone"))
+
+
+CONFIG = (
+    "schema_version int, endpoint string, certificate_sha256 string, pin_provenance string, "
+    "selection struct<vm_reference: string, bios_uuid: string, disk_key: bigint, backing: string, logical_bytes: bigint>, "
+    "store string, destination string, artifact_id string, output_id string, timeout_seconds bigint"
+)
+_CONFIG_FIELDS = ["schema_version", "endpoint", "certificate_sha256", "pin_provenance", "selection", "store", "destination", "artifact_id", "output_id", "timeout_seconds"]
+
+
+def recovery_configs(rows: DataFrame) -> DataFrame:
+    """Closed recovery configurations of version 1 from JSON text (body): the fields, the default timeout filled in, and
+    ``issue``."""
+    p = F.from_json("body", CONFIG)
+    keys = F.json_object_keys("body")
+    told = F.array(*map(F.lit, _CONFIG_FIELDS))
+    issue = (
+        F.when(keys.isNull(), "not an object")
+        .when(F.size(F.array_except(keys, told)) > 0, "unknown field")
+        .when(F.size(F.array_except(F.array(*map(F.lit, _CONFIG_FIELDS[:-1])), keys)) > 0, "missing field")
+        .when(~F.coalesce(p["schema_version"] == 1, F.lit(False)), "version")
+        .when(~p["artifact_id"].rlike("^[0-9a-fA-F]{32}$") | ~p["output_id"].rlike("^[0-9a-fA-F]{32}$"), "id")
+    )
+    full = rows.select("*", p.alias("_p"), issue.alias("issue")).select(*rows.columns, "_p.*", "issue")
+    return full.withColumn("timeout_seconds", F.coalesce("timeout_seconds", F.when(F.col("issue").isNull(), F.lit(3600).cast("long"))))
+
+
+def path_reports(rows: DataFrame) -> DataFrame:
+    """(display, bytes_hex) of paths as bytes (path): bytes that are no UTF-8 are shown replaced, and in hexadecimal."""
+    valid = F.is_valid_utf8(F.col("path").cast("string"))
+    return rows.select("*", F.make_valid_utf8(F.col("path").cast("string")).alias("display"), F.when(~valid, F.lower(F.hex("path"))).alias("bytes_hex"))
