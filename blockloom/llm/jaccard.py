@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles; two link when ``100 * |A & B| >= percent * |A | B|``.  The join is exact.
 
-1. One pass counts in how many places each shingle occurs (4 bytes a shingle are shuffled).  The most frequent ones,
+1. One pass counts in how many places each shingle occurs (about 2 bytes a shingle are shuffled).  The most frequent ones,
    at most ``FREQUENT_LIMIT`` of them, are broadcast.  They only set the order of the index, never drop anything.
 2. A second pass gives each document its size, a digest of its set, a parity sketch (one bit for two shingles) and its
    prefix: the first shingles in the order rare before frequent.  Equal sets are one class from here on.
@@ -17,7 +17,8 @@ Documents are sets of word shingles; two link when ``100 * |A & B| >= percent *
 5. Connected components of these links, with the members of the classes, are the result.
 
 Null or empty text has no set and links with nothing; equal texts, or texts with equal sets, always share a component.
-Rows with a null id keep it and join the component of their set.  Repeated rows are returned as often as they occur.
+Rows with a null id keep it and join the component of their set.  Repeated rows are returned as often as they occur; an
+id is one document, so if it comes with several texts, one of them is compared and all share its component.
 Columns of the input other than id and text are ignored, whatever their names.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.cluster import checked_broadcast, components, cut, runs
+from blockloom.llm.cluster import checked_broadcast, components, cut, give_back, runs, tidy
 
 #: A shingle in more places than this is late in the index order.
 FREQUENT = 16
@@ -42,7 +43,7 @@ FREQUENT_LIMIT = 1 << 20
 SHARED = 8
 #: Longest list, or group in shingles, that one task holds; longer ones are dealt out as pairs of blocks.
 LIST_BLOCK = 2048
-GROUP_BLOCK = 1 << 21
+GROUP_BLOCK = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -53,9 +54,22 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def _class(h: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a shingle, and 32 more bits of it, as one number: what is counted."""
-    low = h & np.uint64(0xFFFFFFFF)
-    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) << np.uint64(32)) | low
+    """The part of a shingle, and 24 more bits of it, as one number: what is counted.  As there are more parts with
+    more data, the share of shingles that fall together by chance stays small; they are only ordered together."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) << np.uint64(32)) | (h & np.uint64(0xFFFFFF))
+
+
+def _gaps(v: np.ndarray) -> np.ndarray:
+    """Sorted numbers as 16-bit steps; a step of 65535 goes on."""
+    step = np.diff(v.astype(np.int64), prepend=0)
+    n = step // 65535 + 1
+    out = np.full(n.sum(), 65535, np.uint16)
+    out[np.cumsum(n) - 1] = step % 65535
+    return out
+
+
+def _from_gaps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int64)[steps != 65535]
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -71,14 +85,15 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
             c.sort()
             part = (c >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts]), T.blobs(c.astype(np.uint32), np.append(cuts, len(c)))], names=["part", "shingles"])
+            low = [_gaps(x & np.uint64(0xFFFFFF)) for x in np.split(c, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([x.tobytes() for x in low], pa.binary())], names=["part", "shingles"])
 
         for batch in batches:
             for _, _, h, _ in _sets(batch, k):
                 if len(h):
                     held.append(_class(h, parts))
                     n += len(h)
-                if n > 4 << 20:
+                if n > 2 << 20:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -86,15 +101,17 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
 
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        v = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles")])
+        v = np.concatenate([_from_gaps(np.frombuffer(x.as_py(), np.uint16)) for x in table.column("shingles")])
         v.sort()
         at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         n = np.diff(np.append(at, len(v)))
         often = n > FREQUENT
-        return pa.table({"shingle": pa.array((np.uint64(part) << np.uint64(32) | v[at][often]).astype(np.int64)), "n": pa.array(n[often].astype(np.int64))})
+        found = pa.table({"shingle": pa.array((np.uint64(part) << np.uint64(32) | v[at][often].astype(np.uint64)).astype(np.int64)), "n": pa.array(n[often].astype(np.int64))})
+        give_back()
+        return found
 
     top = (
-        docs.mapInArrow(send, "part long, shingles binary")
+        docs.mapInArrow(tidy(send), "part long, shingles binary")
         .groupBy("part")
         .applyInArrow(count, "shingle long, n long")
         .orderBy(F.desc("n"), "shingle")
@@ -282,25 +299,28 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     hot, hot_n, parts = frequent_shingles(docs, k)
     frequent = spark.sparkContext.broadcast((hot, hot_n))
-    signed = cut(docs.mapInArrow(_signatures(k, percent, frequent, parts), "id long, size long, digest binary, parity binary, prefix array<long>"))
-    sets = signed.where("size > 0 and id is not null").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
-    )
-    sets = cut(sets)
+    signed = cut(docs.mapInArrow(tidy(_signatures(k, percent, frequent, parts)), "id long, size long, digest binary, parity binary, prefix array<long>"))
+    sets = cut(signed.where("size > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("size").alias("size")))
+    # The representatives' signatures: the rows that are no copies of another stay where they are.
+    some = signed.where("size > 0 and id is not null")
+    copies = cut(some.select("id", "digest").join(sets.select("digest", "rep"), "digest").where("id <> rep").select("id", "digest").distinct())
+    first = some.join(checked_broadcast(copies), ["id", "digest"], "left_anti").withColumnRenamed("id", "rep")
 
     # Index lists with two entries at least, of documents with enough of them.
-    entry = sets.select("rep", "size", F.posexplode("prefix").alias("pos", "shingle"))
+    entry = first.select("rep", F.posexplode("prefix").alias("pos", "shingle"))
     entry = entry.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1")
     least = F.least(F.lit(SHARED), F.expr(f"int(ceil({percent} * size / 100))"))
-    own = entry.groupBy("rep", "size").agg(F.collect_list(F.struct("shingle", "pos")).alias("own")).where(F.size("own") >= least)
-    entry = own.join(sets.select("rep", "parity"), "rep").select("rep", "size", "parity", F.inline("own"))
+    own = entry.groupBy("rep").agg(F.collect_list(F.struct("shingle", "pos")).alias("own"))
+    entry = own.join(first.select("rep", "size", "parity"), "rep").where(F.size("own") >= least).select("rep", "size", "parity", F.inline("own"))
+    # The first shared shingle of two linked sets is in the shorter prefix that does without SHARED.
+    entry = entry.where(f"pos <= size - int(ceil({percent} * size / 100))")
     by_list = Window.partitionBy("shingle")
     entry = entry.withColumn("n", F.count(F.lit(1)).over(by_list)).where("n > 1")
     entry = entry.withColumn("block", F.when(F.col("n") <= LIST_BLOCK, F.lit(0).cast("long")).otherwise(F.expr(f"pmod(xxhash64(rep), int(ceil(n / {LIST_BLOCK})))").cast("long")))
     entry = _cells(entry, "block", f"greatest(1L, cast(ceil(n / {LIST_BLOCK}) as long))")
     entry = entry.select("shingle", "cell", "rep", "size", "pos", "parity")
     sorted_lists = entry.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell")
-    candidates = sorted_lists.mapInArrow(_candidates(percent), "a long, b long")
+    candidates = sorted_lists.mapInArrow(tidy(_candidates(percent)), "a long, b long")
 
     # Groups of candidates, their whole sets, the links among them.
     groups = components(candidates).select(F.col("node").alias("id"), "component")
@@ -314,10 +334,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), T.blobs(h, off)], names=["id", "shingles"])
 
     small = checked_broadcast(groups.select("id").distinct())
-    members = docs.join(small, "id", "left_semi").select("id", "text").mapInArrow(whole, "id long, shingles binary").dropDuplicates(["id"])
+    members = docs.join(small, "id", "left_semi").select("id", "text").mapInArrow(tidy(whole), "id long, shingles binary").dropDuplicates(["id"])
     members = _cells(members.join(groups, "id"), "block", "blocks")
     dealt = members.select("component", "cell", "id", "shingles").repartition("component", "cell").sortWithinPartitions("component", "cell", "id")
-    links = dealt.mapInArrow(_links(percent), "a long, b long")
+    links = dealt.mapInArrow(tidy(_links(percent)), "a long, b long")
     joined = components(links).select(F.col("node").alias("rep"), "component")
 
     # Members of classes; most documents are the only one of their class and of their component.
