@@ -79,7 +79,7 @@ class Automaton:
         key = state * self.size + label
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 400_000:
                 self.arcs.clear()
             found = self.arcs[key] = self._arc(state, label, 1 << 60)
         return found
@@ -186,6 +186,9 @@ class Encoder:
         self._bytes = {i: c for i, c in enumerate(_byte_symbols()) if chr(i) != c}
         self._pieces: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        self._pieces.clear()
+
     def _piece(self, piece: str) -> list[int]:
         ids = self._pieces.get(piece)
         if ids is None:
@@ -238,16 +241,13 @@ class _Words(dict):
         return found
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
-
-
 def encode_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):
     """Per row: id, ids (array of int) and decoded text."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
+    from blockloom.llm.cluster import tidy
+
     def run(batches):
         of = encoder(path)
         for batch in batches:
@@ -257,7 +257,7 @@ def encode_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([of.decode(x) for x in ids], pa.string())], names=["id", "ids", "decoded"])
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(run), "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):
@@ -268,11 +268,14 @@ def encode_digests(docs, path: str, id_col: str = "doc_id", text_col: str = "tex
     import pyarrow as pa
     from pyspark.sql import functions as F
 
+    from blockloom.llm.cluster import tidy
+
     def digest(data: bytes) -> str:
         return hashlib.sha256(data).hexdigest()
 
     def run(batches):
-        words = _words(path)
+        # A table for the task: a worker that goes on to other work holds none.
+        words = _Words(path)
         get = words.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -286,6 +289,8 @@ def encode_digests(docs, path: str, id_col: str = "doc_id", text_col: str = "tex
                     ids.append(digest(spelt[:-1]))
                     texts.append(digest(b"".join([x[1] for x in found])[:-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        words.of.forget()
+        words.clear()
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(tidy(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

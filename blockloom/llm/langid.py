@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
+from blockloom.llm.cluster import tidy
 
 RANKS = 400
 LONGEST = 3
@@ -152,7 +153,7 @@ def learn(docs: DataFrame, may_learn, id_col: str = "doc_id", text_col: str = "t
         for lang, (keys, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= RANKS)
     grams: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").collect():
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, profiles: Profiles, least_score: float, text_col: str = "text") -> DataFrame:
@@ -183,7 +184,7 @@ def accepted(docs: DataFrame, profiles: Profiles, least_score: float, text_col:
                 kept = [x != "und" and s >= least_score for x, s in zip(names, scores, strict=True)]
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _predictions(batch: pa.RecordBatch, column: int, profiles: Profiles) -> Iterator[tuple[int, int, list[str], list[float]]]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
+from blockloom.llm.cluster import tidy
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -143,4 +144,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
                     yield pa.RecordBatch.from_arrays([ids, pa.array(name), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(share)], names=["id", "license", "first_word", "end_word", "containment"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, license string, first_word long, end_word long, containment double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), "id long, license string, first_word long, end_word long, containment double").withColumnRenamed("id", id_col)

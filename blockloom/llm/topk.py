@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.cluster import cut, runs
+from blockloom.llm.cluster import cut, runs, tidy
 
 SHARD = 4_096
 BLOCK = 512
@@ -167,7 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_
     def found(queries: DataFrame) -> DataFrame:
         both = base.unionByName(queries.select("shard", F.lit(1).alias("side"), "block", "id", "kth", "vector"))
         dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "side", "block", "id")
-        return dealt.mapInArrow(_search(k, scale), "query_id long, score long, vec_id long")
+        return dealt.mapInArrow(tidy(_search(k, scale)), "query_id long, score long, vec_id long")
 
     # Round one: the shard of the query's own vector.
     first = cut(found(asked.withColumn("shard", of).withColumn("kth", F.lit(None).cast("double"))))

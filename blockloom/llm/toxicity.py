@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.cluster import cut
+from blockloom.llm.cluster import cut, tidy
 
 LABELLED = 20_000
 FEATURES = 1_000
@@ -80,16 +80,23 @@ def _counted(labelled: DataFrame, among: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+
+        def folded() -> pa.RecordBatch:
+            f, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+
         for batch in batches:
             for _, _, found in _features(batch, 0):
                 if among is not None:
                     found = [(r[m], h[m]) for r, h in found for m in [_in(h, among)[0]]]
                 held += _per_document(found)
+                if sum(map(len, held)) > 1 << 21:
+                    yield folded()
+                    held.clear()
         if held:
-            f, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
+            yield folded()
 
-    return labelled.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return labelled.select("text").mapInArrow(tidy(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _in(h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 off = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), T.ragged(place, off, pa.int64()), T.ragged(n, off, pa.int64())], names=["toxic", "place", "n"])
 
-    got = sample.mapInArrow(rows, "toxic boolean, place array<long>, n array<long>").toPandas()
+    got = sample.mapInArrow(tidy(rows), "toxic boolean, place array<long>, n array<long>").toPandas()
     length = got["place"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), length)
     place = np.concatenate([np.asarray(x, np.int64) for x in got["place"]])
@@ -210,7 +217,7 @@ def score(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, id_col: s
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, expected_severity double, p_toxic double, severity_grade int, is_toxic boolean")
+    out = rows.mapInArrow(tidy(run), "id long, expected_severity double, p_toxic double, severity_grade int, is_toxic boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -226,4 +233,4 @@ def clean(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, text_col:
                 kept = p[:, 0] < reject_at if p.shape[1] else np.ones(hi - lo, bool)
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
