@@ -13,12 +13,15 @@ Null text is empty and has the end id only; repeated rows are stored as often as
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -29,17 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.cluster import cut, shared_folder
+from blockloom.llm.cluster import cut, shared_folder, tidy
 
 FRAME_BYTES = 256 << 10
 #: Words held by a task's table of encoded words; a full table is emptied.
-WORDS_HELD = 250_000
+WORDS_HELD = 800_000
+#: Bytes of text whose new words are looked up together.
+TEXT_BYTES = 8 << 20
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
+#: Letters whose runs the pre-tokenizer never splits.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+").fullmatch
+
 
 def _store(path: str):
     """The file system of a path that every executor sees, and the path in it."""
@@ -150,20 +158,38 @@ class _Words(dict):
         self.of = Tokenizer.from_file(path)
         self.of.no_truncation()
         self.of.no_padding()
+        self.of.encode_special_tokens = False
+        vocab = self.of.get_vocab(with_added_tokens=False)
+        suffix = json.loads(self.of.to_str())["model"].get("end_of_word_suffix") or ""
+        if not suffix:
+            raise ValueError("the vocabulary does not mark the ends of words")
+        self.ends = np.zeros(max(self.of.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes new words in one call: white space separates words here, so each keeps its own ids."""
-        if len(self) + len(words) > WORDS_HELD:
-            self.clear()
-        texts = [w.decode() for w in words]
-        start = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        found = self.of.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        owner = np.searchsorted(start, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
-        at = np.searchsorted(owner, np.arange(len(texts) + 1))
-        data = ids.tobytes()
-        for i, w in enumerate(words):
-            self[w] = data[4 * at[i] : 4 * at[i + 1]]
+        """Encodes new words in a few calls: white space separates words here, so each keeps its own ids.
+
+        A word of letters alone is one piece, and a piece ends with a token that ends a word, so their ids are told
+        apart by these tokens; other words' ids by the places that the library tells.
+        """
+        for i in range(0, len(words), 20_000):
+            texts = [w.decode() for w in words[i : i + 20_000]]
+            plain = [t for t in texts if t.isalpha() and _LATIN(t)]
+            other = [t for t in texts if not (t.isalpha() and _LATIN(t))]
+            if plain:
+                ids = np.array(self.of.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+                self._keep(plain, ids, np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)))
+            if other:
+                start = np.cumsum([0, *(len(t) + 1 for t in other)])
+                found = self.of.encode(" ".join(other), add_special_tokens=False)
+                owner = np.searchsorted(start, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
+                self._keep(other, np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(other) + 1)))
+
+    def _keep(self, texts: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        if len(at) != len(texts) + 1:
+            raise ValueError("words and ids do not match")
+        data, at = ids.tobytes(), (4 * at).tolist()
+        self.update(zip([t.encode() for t in texts], [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -173,20 +199,26 @@ def _words(path: str) -> _Words:
 
 def encoded(texts: list[bytes | None], path: str, end_id: int) -> Iterator[bytes]:
     """The ids of each text and the end id, as bytes."""
-    table = _words(path)
-    end = struct.pack("<I", end_id)
-    split = [t.split() if t else [] for t in texts]
-    for words in split:
-        new = [w for w in set(words) if w not in table]
-        if new:
-            for i in range(0, len(new), 20_000):
-                table.learn(new[i : i + 20_000])
-            missing = [w for w in set(words) if w not in table]  # the table was emptied on the way
-            if missing:
-                whole = table.of.encode(b" ".join(words).decode(), add_special_tokens=False)
-                yield np.array(whole.ids, "<u4").tobytes() + end
-                continue
-        yield b"".join(map(table.__getitem__, words)) + end
+    table, end = _words(path), struct.pack("<I", end_id)
+    held: list[list[bytes]] = []
+    size = 0
+
+    def flush() -> Iterator[bytes]:
+        new = set(chain.from_iterable(held)).difference(table)
+        if len(table) + len(new) > WORDS_HELD:
+            table.clear()
+            new = set(chain.from_iterable(held))
+        table.learn(list(new))
+        for words in held:
+            yield b"".join(map(table.__getitem__, words)) + end
+
+    for t in texts:
+        held.append(t.split() if t else [])
+        size += len(t or b"")
+        if size >= TEXT_BYTES:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +241,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return cut(ranged.mapInArrow(run, "part long, path string, docs long, tokens long"))
+    return cut(ranged.mapInArrow(tidy(run), "part long, path string, docs long, tokens long"))
 
 
 def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -229,7 +261,7 @@ def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     n = files.count()
     placed = files.selectExpr("part", "path", "coalesce(sum(tokens) over (order by part rows between unbounded preceding and 1 preceding), 0) as start")
     placed = placed.repartition(max(1, 4 * n), "part").select("path", "start")
-    return placed.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(tidy(run), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def new_folder(docs: DataFrame) -> str:
