@@ -94,7 +94,7 @@ def exit_codes(spark: SparkSession, sf: str) -> DataFrame:
     status = (
         F.when(k.isin("click", "view"), "completed").when(k == "signup", "cancelled").when(k == "purchase", F.when(e % 200 == 0, "uncertain").otherwise("completed")).otherwise(F.when(e % 90 == 0, "invalid_request").otherwise("failed"))
     )
-    return journal.exit_codes(X.table(spark, sf, "events").where("event_id % 30 = 0").select("user_id", status.alias("status")), "user_id", "status")
+    return journal.exit_codes(X.table(spark, sf, "events").select("user_id", status.alias("status")), "user_id", "status")
 
 
 @query("""SELECT user_id, arg_min(props, event_id) AS error, min(event_id) AS at_event FROM events WHERE event_type = 'error' GROUP BY user_id""")
