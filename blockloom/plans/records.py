@@ -179,13 +179,13 @@ def artifact_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT user_id AS object_id, event_type AS name, count(*) AS n FROM events WHERE event_id % 40 = 0 GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_properties(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory.duplicate_properties(X.table(spark, sf, "events").where("event_id % 40 = 0").select(F.col("user_id").alias("object_id"), F.col("event_type").alias("name")))
+    return inventory.duplicate_properties(X.table(spark, sf, "events").select(F.col("user_id").alias("object_id"), F.col("event_type").alias("name")))
 
 
 @query("""WITH p AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 40 = 0) SELECT o.user_id AS object_id, r.name FROM (SELECT DISTINCT user_id FROM p) o CROSS JOIN (VALUES ('click'), ('view')) r(name)
     WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = o.user_id AND p.event_type = r.name)""")
 def missing_properties(spark: SparkSession, sf: str) -> DataFrame:
-    p = X.table(spark, sf, "events").where("event_id % 40 = 0").select(F.col("user_id").alias("object_id"), F.lit("vm").alias("kind"), F.col("event_type").alias("name"))
+    p = X.table(spark, sf, "events").select(F.col("user_id").alias("object_id"), F.lit("vm").alias("kind"), F.col("event_type").alias("name"))
     return inventory.missing_properties(p, spark.createDataFrame([("vm", "click"), ("vm", "view")], "kind string, name string"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from blockloom.operators import journal
 from blockloom.plans import fixtures as X
-from blockloom.plans import more
+from blockloom.plans import more, records
 
 
 def test_exit_codes_weigh_every_event(spark, small):
@@ -15,3 +17,17 @@ def test_exit_codes_weigh_every_event(spark, small):
     got = more.exit_codes(spark, small).collect()
     assert {r["user_id"]: (r["status"], r["code"]) for r in got} == {u: (s, journal.EXIT_CODES[s]) for u, s in weightiest.items()}
     assert len(got) == len(weightiest)
+
+
+def test_properties_are_those_of_every_event(spark, small):
+    told = Counter((r["user_id"], r["event_type"]) for r in X.table(spark, small, "events").select("user_id", "event_type").collect())
+    assert sorted(map(tuple, records.duplicate_properties(spark, small).collect())) == sorted((*k, n) for k, n in told.items() if n > 1)
+    missing = {(u, name) for u, _ in told for name in ("click", "view")} - set(told)
+    assert sorted((r["object_id"], r["name"]) for r in records.missing_properties(spark, small).collect()) == sorted(missing)
+
+
+def test_missing_properties_look_at_every_event(spark, tmp_path):
+    rows = [(1, 1, "click"), (2, 1, "view"), (40, 2, "click"), (41, 2, "view"), (3, 3, "error"), (80, 4, "view")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = records.missing_properties(spark, str(tmp_path)).collect()
+    assert sorted((r["object_id"], r["name"]) for r in got) == [(3, "click"), (3, "view"), (4, "click")]
