@@ -145,7 +145,7 @@ def chain_walk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT l_suppkey AS disk_id, l_partkey % 64 AS device, l_orderkey % 8 AS inode, count(*) AS n_layers FROM (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey FROM lineitem WHERE l_suppkey % 10 = 0) GROUP BY ALL HAVING count(*) > 1""")
 def shared_identities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = X.table(spark, sf, "lineitem").where("l_suppkey % 10 = 0").select("l_suppkey", "l_partkey", "l_orderkey").distinct()
+    rows = X.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey").distinct()
     return overlay.shared_identities(rows.select(F.col("l_suppkey").alias("disk_id"), (F.col("l_partkey") % 64).alias("device"), (F.col("l_orderkey") % 8).alias("inode")))
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 
 from blockloom.operators import journal
 from blockloom.plans import fixtures as X
-from blockloom.plans import more, records
+from blockloom.plans import maps, more, records
 
 
 def test_exit_codes_weigh_every_event(spark, small):
@@ -31,3 +31,9 @@ def test_missing_properties_look_at_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = records.missing_properties(spark, str(tmp_path)).collect()
     assert sorted((r["object_id"], r["name"]) for r in got) == [(3, "click"), (3, "view"), (4, "click")]
+
+
+def test_shared_identities_are_those_of_every_disk(spark, small):
+    lines = {tuple(r) for r in X.table(spark, small, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey").collect()}
+    told = Counter((s, p % 64, o % 8) for s, p, o in lines)
+    assert sorted(map(tuple, maps.shared_identities(spark, small).collect())) == sorted((*k, n) for k, n in told.items() if n > 1)
