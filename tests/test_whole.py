@@ -37,3 +37,17 @@ def test_shared_identities_are_those_of_every_disk(spark, small):
     lines = {tuple(r) for r in X.table(spark, small, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey").collect()}
     told = Counter((s, p % 64, o % 8) for s, p, o in lines)
     assert sorted(map(tuple, maps.shared_identities(spark, small).collect())) == sorted((*k, n) for k, n in told.items() if n > 1)
+
+
+def test_recent_tasks_keep_every_task(spark, small, tmp_path):
+    owners = Counter(r["user_id"] for r in X.table(spark, small, "events").select("user_id").collect())
+    got = more.recent_tasks(spark, small).collect()
+    assert Counter(r["owner"] for r in got) == owners
+    assert all((r["issue"] == "too many") == (owners[r["owner"]] > journal.MOST_TASKS) for r in got)
+    rows = [(i, 1, "click") for i in range(380, 420)] + [(500, 3, "view"), (501, 3, "view"), (513, 3, "view"), (515, 3, "purchase"), (518, 3, "error")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = more.recent_tasks(spark, str(tmp_path)).collect()
+    assert Counter(r["issue"] for r in got if r["owner"] == 1) == {"too many": 40}
+    assert sorted((r["reference"], r["state"], r["operation"], r["issue"]) for r in got if r["owner"] == 3) == [
+        (250, "success", "export_vm", "duplicate"), (250, "success", "other", "duplicate"), (256, "success", "export_vm", "entity"), (257, "lost", "other", "state"), (259, "error", "other", None),
+    ]
