@@ -267,16 +267,21 @@ def grain_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def inflate_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's bytes as a 64 KiB grain, compressed, with every kind of damage."""
+    """Each document's bytes as 64 KiB grains, the last one padded, compressed, with every kind of damage; the disk is told by
+    the grain's place in its document and the index is the document."""
     from pyspark.sql.functions import udf
 
-    @udf("binary")
-    def packed(doc_id: int, text: str) -> bytes:
-        data = (text or "").encode()[: images.STREAM_GRAIN].ljust(images.STREAM_GRAIN - (doc_id % 5 == 1), b"\0")
-        z = zlib.compress(data)
-        return z[:-3] if doc_id % 5 == 2 else z + b"x" if doc_id % 5 == 3 else b"\x1f\x8b" + z if doc_id % 5 == 4 else z
-
-    grains = X.table(spark, sf, "documents").select(F.lit("d").alias("disk_id"), F.col("doc_id").alias("index"), packed("doc_id", "text").alias("payload"))
+    @udf("array<binary>")
+    def packed(doc_id: int, text: str) -> list[bytes]:
+        data, out = (text or "").encode(), []
+        for at in range(0, max(len(data), 1), images.STREAM_GRAIN):
+            grain = data[at : at + images.STREAM_GRAIN].ljust(images.STREAM_GRAIN, b"\0")
+            z = zlib.compress(grain[:-1] if doc_id % 5 == 1 else grain)
+            out.append(z[:-3] if doc_id % 5 == 2 else z + b"x" if doc_id % 5 == 3 else b"\x1f\x8b" + z if doc_id % 5 == 4 else z)
+        return out
+
+    grains = X.table(spark, sf, "documents").select(F.col("doc_id").alias("index"), F.posexplode(packed("doc_id", "text")).alias("part", "payload"))
+    grains = grains.select(F.concat(F.lit("d"), F.when(F.col("part") > 0, F.col("part").cast("string")).otherwise("")).alias("disk_id"), "index", "payload")
     return images.inflate(grains)
 
 

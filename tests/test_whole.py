@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 from blockloom.operators import journal
 from blockloom.plans import fixtures as X
 from blockloom.plans import maps, more, records
+from blockloom.sources import images
 
 
 def test_exit_codes_weigh_every_event(spark, small):
@@ -51,3 +53,17 @@ def test_recent_tasks_keep_every_task(spark, small, tmp_path):
     assert sorted((r["reference"], r["state"], r["operation"], r["issue"]) for r in got if r["owner"] == 3) == [
         (250, "success", "export_vm", "duplicate"), (250, "success", "other", "duplicate"), (256, "success", "export_vm", "entity"), (257, "lost", "other", "state"), (259, "error", "other", None),
     ]
+
+
+def test_inflate_check_reads_texts_to_their_end(spark, tmp_path):
+    size = images.STREAM_GRAIN
+    texts = {0: "é" * size + "tail", 5: "é" * size + "other", 10: "x" * size, 15: "", 20: None, 25: "short", 1: "y" * size, 2: "z" * (size + 1)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["index"], r["disk_id"]): (r["sha256"], r["issue"]) for r in records.inflate_check(spark, str(tmp_path)).collect()}
+    want = {}
+    for doc, text in texts.items():
+        data = (text or "").encode()
+        for part in range(max(1, -(-len(data) // size))):
+            sha = hashlib.sha256(data[part * size : (part + 1) * size].ljust(size, b"\0")).hexdigest()
+            want[doc, f"d{part or ''}"] = (None, "too short") if doc == 1 else (None, "truncated") if doc == 2 else (sha, None)
+    assert got == want and len({sha for (doc, _), (sha, _) in got.items() if doc in (0, 5)}) == 3
