@@ -165,8 +165,7 @@ def safe_names(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'scheme' WHEN regexp_extract(url, '^https://([^/:?#]+)', 1) <> 'm.ththth.example.net' THEN 'host' WHEN contains(url, '#') THEN 'fragment'
     WHEN NOT regexp_matches(url, '^https://[^/]+/(nfc|ha-nfc)/') THEN 'path' END AS issue FROM pages WHERE url NOT LIKE '%@%'""")
 def data_url_admission(spark: SparkSession, sf: str) -> DataFrame:
-    rows = X.table(spark, sf, "pages").where("url not like '%@%'")
-    return rows.select("page_id", inventory.url_issue(F.col("url"), "m.ththth.example.net", 443).alias("issue"))
+    return X.table(spark, sf, "pages").select("page_id", inventory.url_issue(F.col("url"), "m.ththth.example.net", 443).alias("issue"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS artifact, o_orderkey % 3 > 0 AS complete, CASE WHEN o_orderkey % 4 > 0 THEN CASE WHEN o_orderkey % 10 = 1 THEN 'XY' ELSE sha256(CAST(o_orderkey AS VARCHAR)) END END AS digest, (o_orderkey % 50) * CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 512 END AS capacity FROM orders)

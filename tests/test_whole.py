@@ -67,3 +67,14 @@ def test_inflate_check_reads_texts_to_their_end(spark, tmp_path):
             sha = hashlib.sha256(data[part * size : (part + 1) * size].ljust(size, b"\0")).hexdigest()
             want[doc, f"d{part or ''}"] = (None, "too short") if doc == 1 else (None, "truncated") if doc == 2 else (sha, None)
     assert got == want and len({sha for (doc, _), (sha, _) in got.items() if doc in (0, 5)}) == 3
+
+
+def test_data_urls_with_at_signs_and_without_url_are_judged(spark, tmp_path):
+    host = "m.ththth.example.net"
+    want = {
+        f"https://u@{host}/nfc/a": "user", f"https://u:p@{host}/nfc/a": "user", f"https://{host}/nfc/a@b": None, f"https://{host}/nfc/a?q=x@y": None, f"https://{host}/x@y": "path",
+        f"https://{host}@other.example/nfc/a": "host", f"http://u@{host}/nfc/a": "scheme", f"https://{host}/nfc/a#x@y": "fragment", f"https://{host}/nfc/a": None, None: "shape",
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["issue"] for r in records.data_url_admission(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
