@@ -7,8 +7,8 @@ Documents are sets of word shingles; two link when ``100 * |A & B| >= percent *
 2. A second pass gives each document its size, a digest of its set, a parity sketch (one bit for two shingles) and its
    prefix: the first shingles in the order rare before frequent.  Equal sets are one class from here on.
 3. Prefix shingles are the index lists.  Lists with one entry go; a document with fewer than ``SHARED`` entries left
-   can link with nothing and goes too.  A list is sorted by size and cut into blocks by position; whole blocks are
-   skipped where size or position rules every entry out (index-level skipping), and the parity sketch bounds the
+   can link with nothing and goes too.  A list is sorted by size, each size cut into blocks by position; whole blocks
+   are skipped where size or position rules every entry out (index-level skipping), and the parity sketch bounds the
    difference of a pair that is left.  A long list is dealt out as pairs of its blocks.
 4. What is left forms small groups of similar sets.  In a group the first set's overlaps with all others are counted
    from the lists; those of a similar set are derived from them by the few shingles in which the two differ
@@ -44,6 +44,8 @@ SHARED = 8
 #: Longest list, or group in shingles, that one task holds; longer ones are dealt out as pairs of blocks.
 LIST_BLOCK = 2048
 GROUP_BLOCK = 1 << 19
+#: In a list, entries of one size are cut into blocks of so many positions.
+POSITIONS = 8
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -173,6 +175,19 @@ def _folded(parity: list[bytes]) -> tuple[np.ndarray, int]:
     return np.stack([np.bitwise_xor.reduce(r.reshape(-1, n), axis=0) for r in rows]), n * 64
 
 
+def _position_blocks(size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end entries of the blocks of a list in order of size and position: one size, near positions."""
+    at = np.flatnonzero((np.diff(size) != 0) | (np.diff(pos // POSITIONS) != 0)) + 1
+    return np.concatenate(([0], at)), np.concatenate((at, [len(size)]))
+
+
+def _open_blocks(percent: int, size: int, pos: int, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which blocks (size, least and greatest position) may hold an entry that links with this one: what is left after
+    the common shingle bounds the overlap, and no entry's bound is above its block's."""
+    need = -(-percent * (size + sizes) // (100 + percent))
+    return np.flatnonzero(np.minimum(size - pos, sizes - low) + np.minimum(pos, high) >= need)
+
+
 def _candidates(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From list entries sorted by list: a spanning forest of each list's candidate pairs."""
 
@@ -188,15 +203,21 @@ def _candidates(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             raw = [raw[i] for i in order]
             root = np.arange(n)
             found_a, found_b = [], []
-            # Blocks of entries with like sizes; in one, entries are in order of their position.
+            first, ends = _position_blocks(size, pos)
+            low, high = pos[first], pos[ends - 1]
             for i in range(n - 1):
                 # Sizes: only entries up to size * 100 / percent can link.
                 end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
                 if end <= i + 1:
                     continue
-                j = np.arange(i + 1, end)
+                # Blocks that position rules out are skipped before their entries are touched.
+                a, z = np.searchsorted(first, i + 1, side="right") - 1, np.searchsorted(first, end)
+                blocks = a + _open_blocks(percent, size[i], pos[i], size[first[a:z]], low[a:z], high[a:z])
+                if not len(blocks):
+                    continue
+                j = np.concatenate([np.arange(max(first[b], i + 1), ends[b]) for b in blocks])
                 need = -(-percent * (size[i] + size[j]) // (100 + percent))
-                # Position: what is left after the common shingle bounds the overlap.
+                # The same bound, entry by entry.
                 most = np.minimum(size[i] - pos[i], size[j] - pos[j]) + np.minimum(pos[i], pos[j])
                 j = j[(most >= need) & (root[j] != root[i])]
                 if not len(j):
