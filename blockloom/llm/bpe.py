@@ -3,16 +3,20 @@
 The merges of a byte-pair vocabulary are compiled into a deterministic automaton over tokens that accepts exactly the
 token sequences which the merge rules produce.  It starts as one state with an arc for every base symbol; each merge
 (u, v) in turn adds a gadget: the state that u enters is split off and loses its arc v, and every state with an arc u
-gets an arc uv to where v led.  Two facts make the result small: the state entered depends only on the token just read,
-and a gadget touches only the arcs of one token.  So a gadget is kept as one row of four tables (left part, right part,
-birth, removed arcs), and a row of the transition table is filled when first used: an arc is there if it was there when
-the younger of state and label was born and no later gadget removed it.  ``explicit_automaton`` builds the same
-automaton arc by arc, for small vocabularies and as the tests' yardstick.
+gets an arc uv to where v led.  The state entered depends only on the token just read, so states are numbered by token.
 
-Words, as split by the tokenizer file's own normaliser and pre-tokenizer, are encoded by these transitions: every
-prefix of a word has one accepted path, so one pass over the positions finds it.  Decoding emits the labels of the
-arcs.  White space separates words and is dropped, which is checked on the file; so equal words are encoded once and
-held in a table of bounded size.
+A gadget takes away one rectangle of the transition table.  Its arc (u, v) goes for u and for all states copied from
+u's later: tokens that end with u and are born after the merge.  It goes likewise for v and for all labels that begin
+with v and are born with the merge or after it.  Put in pre-order, children of one token from young to old, the states
+and the labels of a rectangle are each one run of numbers.  So ``compile_gadgets`` builds the finished table from all
+rectangles at once: for each state the sorted runs of labels it has no arc for, 0.9 million of them for 49k merges.
+``explicit_automaton`` builds the same automaton arc by arc, for small vocabularies and as the tests' yardstick.
+
+Words, as split by the tokenizer file's own normaliser and pre-tokenizer, are encoded by table-driven transitions in
+one pass: each prefix of a word has one accepted path, so at each position there is one state; the labels that can
+follow are read off a table of prefixes, and one look at the state's row tells which of them are arcs.  Nothing is
+taken back.  Decoding emits the labels of the arcs.  White space separates words and is dropped, which is checked on
+the file; so equal words are encoded once and held in a table of bounded size.
 
 Null text is empty and has no ids.  Special tokens that are spelt out in a text become their ids.  Rows are
 independent: repeated rows and nulls in other columns change nothing, and a text of any length is encoded whole.
@@ -22,110 +26,216 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
+
+import numpy as np
 
 #: Words held by a task's table of encoded words; a full table is emptied.
 WORDS_HELD = 250_000
+#: Characters of text whose new words are encoded together.
+TEXT_BYTES = 2 << 20
+
+
+def _pre_order(parent: np.ndarray, birth: np.ndarray) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
+    """Places of the tokens of a forest in pre-order, their children from young to old, and the sizes of subtrees."""
+    young_first = np.argsort(-birth, kind="stable")
+    children: list[list[int]] = [[] for _ in parent]
+    size = np.ones(len(parent), np.int64)
+    for t in young_first.tolist():
+        if parent[t] >= 0:
+            children[parent[t]].append(t)
+            size[parent[t]] += size[t]
+    # A child is younger than its parent: parents get their places first.
+    place, free = np.zeros(len(parent), np.int64), 0
+    for t in young_first[::-1].tolist():
+        if parent[t] < 0:
+            place[t], free = free, free + size[t]
+        at = place[t] + 1
+        for c in children[t]:
+            place[c] = at
+            at += size[c]
+    return place, children, size
+
+
+def compile_gadgets(size: int, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The transition table of ``size`` tokens after the merges (u, v, uv), in order.
+
+    Returns the states' and labels' places and the runs of missing arcs as sorted (first, end) of
+    ``state's place * size + label's place``; runs of one state do not overlap.
+    """
+    birth, left, right = (np.full(size, -1, np.int64) for _ in range(3))
+    for rank, (u, v, uv) in enumerate(merges):
+        birth[uv], left[uv], right[uv] = rank, u, v
+    state, by_end, n_end = _pre_order(right, birth)
+    label, by_begin, n_begin = _pre_order(left, birth)
+
+    def ends(children: list[list[int]], n: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """For each token: minus its children's births, and how many tokens its first children's subtrees hold."""
+        births = [[-int(birth[c]) for c in kids] for kids in children]
+        return births, [np.concatenate(([0], np.cumsum(n[kids]))).tolist() if kids else [0] for kids in children]
+
+    end_births, end_counts = ends(by_end, n_end)
+    begin_births, begin_counts = ends(by_begin, n_begin)
+    boxes = np.zeros((len(merges), 4), np.int64)
+    for rank, (u, v, _) in enumerate(merges):
+        # States copied after the merge, labels added with it or after it.
+        states = 1 + end_counts[u][bisect_right(end_births[u], -rank - 1)]
+        labels = 1 + begin_counts[v][bisect_right(begin_births[v], -rank)]
+        boxes[rank] = state[u], states, label[v], labels
+    n = boxes[:, 1]
+    row = np.repeat(boxes[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = row * size + np.repeat(boxes[:, 2], n)
+    end = first + np.repeat(boxes[:, 3], n)
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], end[order]
+    reached = np.maximum.accumulate(end)
+    apart = np.concatenate(([True], first[1:] > reached[:-1])) if len(first) else np.zeros(0, bool)
+    at = np.flatnonzero(apart)
+    return state, label, first[at], reached[np.append(at[1:], len(first)) - 1] if len(at) else end
 
 
 class Automaton:
-    """The compiled merges: ``encode`` a word's symbols to token ids, ``labels`` to spell them out."""
+    """The compiled merges: ``encode_words`` words' symbols to token ids, ``label`` to spell them out."""
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str = ""):
-        self.vocab, self.suffix = vocab, suffix
-        size = max(vocab.values()) + 1
-        self.label = [""] * size
+        self.size = max(vocab.values()) + 1
+        self.label = [""] * self.size
         for token, i in vocab.items():
             self.label[i] = token
-        self.left, self.right, self.birth = [-1] * size, [-1] * size, [-1] * size
-        self.removed: dict[int, int] = {}
-        self.size, self.arcs = size, {}
-        self.alive = [False] * size
-        merges = list(merges)
-        made = set()
-        for u, v in merges:
-            made.add(vocab[u + v])
-        for i in vocab.values():
-            self.alive[i] = i not in made
-        for rank, (u, v) in enumerate(merges):
-            self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        plain = [t.removesuffix(suffix) if suffix else t for t in vocab]
-        self.begins = {t[:i] for t in plain for i in range(1, len(t) + 1)}
-
-    def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
-        """One merge: the arc uv is born if u leads to v; u's own state loses the arc v."""
-        self.left[uv], self.right[uv], self.birth[uv] = u, v, rank
-        self.alive[uv] = self.alive[u] and self.alive[v] and self._arc(u, v, rank)
-        self.removed[u * self.size + v] = rank
-
-    def _arc(self, state: int, label: int, time: int) -> bool:
-        """Whether, before merge ``time``, the state that token ``state`` enters has an arc ``label``."""
-        while True:
-            if self.removed.get(state * self.size + label, time) < time:
-                return False
-            born, made = self.birth[state], self.birth[label]
-            if born < 0 and made < 0:
-                return True
-            if born > made:  # the state was copied from that of its right part
-                state, time = self.right[state], born
-            elif made > born:  # the arc was added beside that of its left part
-                label, time = self.left[label], made + 1
-            else:  # both were born in one gadget: the state's own new token
-                state, label, time = self.right[state], self.left[label], born
-
-    def leads(self, state: int, label: int) -> bool:
-        """The transition table, filled row by row: whether the arc is there in the finished automaton."""
-        key = state * self.size + label
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) > 400_000:
-                self.arcs.clear()
-            found = self.arcs[key] = self._arc(state, label, 1 << 60)
-        return found
+        numbered = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        state, self._place, self._first, self._end = compile_gadgets(self.size, numbered)
+        self._row = state * self.size
+        alive = np.ones(self.size, bool)
+        for (u, v, uv), gone in zip(numbered, _gone_before(numbered), strict=True):
+            alive[uv] = alive[u] and alive[v] and not gone
+        # Labels by their prefixes: a node a prefix, the token that ends there inside a word, and at a word's end.
+        nodes = {"": 1}
+        inner, last, step = [0, 0], [0, 0], []
+        for token, i in vocab.items():
+            ended = bool(suffix) and token.endswith(suffix)
+            plain = token.removesuffix(suffix) if ended else token
+            at = 1
+            for j in range(1, len(plain) + 1):
+                to = nodes.get(plain[:j])
+                if to is None:
+                    to = nodes[plain[:j]] = len(inner)
+                    inner.append(0)
+                    last.append(0)
+                    step.append((at, plain[j - 1], to))
+                at = to
+            if alive[i] and not ended:
+                inner[at] = i + 1
+            if alive[i] and (ended or not suffix):
+                last[at] = i + 1
+        self._inner, self._last = np.array(inner, np.int64) - 1, np.array(last, np.int64) - 1
+        # One row a node that goes on, one column a symbol; node 0 is the end of all labels.
+        symbols = sorted({c for _, c, _ in step})
+        self._column = np.zeros(max(map(ord, symbols), default=0) + 2, np.int64)
+        self._column[[ord(c) for c in symbols]] = np.arange(1, len(symbols) + 1)
+        goes_on = sorted({a for a, _, _ in step})
+        self._line = np.zeros(len(inner), np.int64)
+        self._line[goes_on] = np.arange(1, len(goes_on) + 1)
+        self._next = np.zeros((len(goes_on) + 1, len(symbols) + 1), np.int32)
+        if step:
+            start, symbol, to = zip(*step, strict=True)
+            self._next[self._line[list(start)], self._column[[ord(c) for c in symbol]]] = to
+
+    def leads(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The transition table: whether the states that tokens ``state`` enter have the arcs ``label``."""
+        at = self._row[state] + self._place[label]
+        k = np.searchsorted(self._first, at, side="right") - 1
+        return (k < 0) | (at >= self._end[k]) if len(self._end) else np.ones(len(at), bool)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids on the one accepted path that spells each word, and the words' offsets into them.
+
+        All words go forward together.  First the labels that begin at each position are read off the table of
+        prefixes, a symbol a step; then, position by position, the one state there opens its arcs.
+        """
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        column = self._column[np.minimum(text, len(self._column) - 1)]
+        length = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(length)
+        stop = np.repeat(end, length)
+        # Places between symbols: a word of n symbols has n + 1 of them.
+        shift = np.repeat(np.arange(len(words)), length)
+        at = np.arange(len(text))
+        node = np.ones(len(text), np.int64)
+        since, till, label = [], [], []
+        here = at
+        while len(at):
+            node = self._next[self._line[node], column[here]].astype(np.int64)
+            live = node > 0
+            at, here, node = at[live], here[live] + 1, node[live]
+            ends = here == stop[at]
+            token = np.where(ends, self._last[node], self._inner[node])
+            hit = token >= 0
+            since.append(at[hit] + shift[at[hit]])
+            till.append(here[hit] + shift[at[hit]])
+            label.append(token[hit])
+            at, here, node = at[~ends], here[~ends], node[~ends]
+        begin = end - length + np.arange(len(words))
+        total = len(text) + len(words)
+        depth = np.arange(total) - np.repeat(begin, length + 1)
+        since, till, label = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (since, till, label))
+        order = np.argsort(depth[since], kind="stable")
+        since, till, label = since[order], till[order], label[order]
+        state, back = np.full(total, -1, np.int64), np.zeros(total, np.int64)
+        cuts = np.searchsorted(depth[since], np.arange(int(length.max(initial=0)) + 1))
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            x, y, t = since[a:b], till[a:b], label[a:b]
+            if i:
+                open_ = state[x] >= 0
+                open_ &= self.leads(np.maximum(state[x], 0), t)
+                x, y, t = x[open_], y[open_], t[open_]
+            state[y], back[y] = t, x
+        # The path back from each word's end.
+        on_path = np.zeros(total, bool)
+        now = (begin + length)[length > 0]
+        if (state[now] < 0).any():
+            raise ValueError("no accepted path")
+        n = np.zeros(len(words), np.int64)
+        owner = np.flatnonzero(length > 0)
+        while len(now):
+            on_path[now] = True
+            n[owner] += 1
+            now = back[now]
+            more = depth[now] > 0
+            now, owner = now[more], owner[more]
+        return state[on_path], np.concatenate(([0], np.cumsum(n)))
 
     def encode(self, word: str) -> list[int]:
-        """The ids on the one accepted path that spells the word.  The suffix is added to its last symbol.
-
-        Long labels are tried first.  A prefix has one accepted path and so one state: a position from which the end
-        was not reached is dead for good, and the search takes at most a step for each label at each position.
-        """
-        n = len(word)
-        get, alive, begins, known, size = self.vocab.get, self.alive, self.begins, self.arcs.get, self.size
-        path: list[int] = []
-        left: list[tuple[int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        at, open_ = 0, True
-        while at < n:
-            if open_:
-                options = []
-                for j in range(at + 1, n + 1):
-                    part = word[at:j]
-                    if part not in begins:
-                        break
-                    token = get(part) if j < n else get(part + self.suffix)
-                    if token is not None and alive[token]:
-                        options.append((j, token))
-            while options:
-                end, token = options.pop()
-                if end in dead:
-                    continue
-                if path:
-                    there = known(path[-1] * size + token)
-                    if not (self.leads(path[-1], token) if there is None else there):
-                        continue
-                left.append((at, options))
-                path.append(token)
-                at, open_ = end, True
+        return self.encode_words([word])[0].tolist()
+
+
+def _gone_before(merges: list[tuple[int, int, int]]) -> list[bool]:
+    """For each merge: whether an earlier gadget took its arc away, so that its own gadget adds no token.
+
+    An arc is as old as the younger of its state and label, copied from that one's part: so its past is followed from
+    part to part, to where it began or was taken.
+    """
+    birth, left, right = {}, {}, {}
+    taken: dict[tuple[int, int], int] = {}
+    out = []
+    for rank, (u, v, uv) in enumerate(merges):
+        s, t, time = u, v, rank
+        while not (gone := taken.get((s, t), time) < time):
+            a, b = birth.get(s, -1), birth.get(t, -1)
+            if a < 0 and b < 0:
                 break
+            if a > b:
+                s, time = right[s], a
+            elif b > a:
+                t, time = left[t], b + 1
             else:
-                if not left:
-                    raise ValueError(f"no accepted path in {word[:40]!r}")
-                dead.add(at)
-                path.pop()
-                at, options = left.pop()
-                open_ = False
-        return path
+                s, t, time = right[s], left[t], a
+        out.append(gone)
+        birth[uv], left[uv], right[uv] = rank, u, v
+        taken[u, v] = rank
+    return out
 
 
 def explicit_automaton(symbols: Iterable[str], merges: Iterable[tuple[str, str]]) -> dict[int, dict[str, int]]:
@@ -179,42 +289,37 @@ class Encoder:
         self.label = {i: t for i, t in enumerate(self.automaton.label)} | {i: t for t, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         plain = next(x["pattern"].get("Regex", "") for x in splits)
-        # The file's pattern for words of printable ASCII and composed Latin letters, which the normaliser only lowers.
+        # The file's pattern for printable ASCII, composed Latin letters, dashes and quotes, which the normaliser only lowers.
         letters = "a-zß-öø-ÿĀ-ſ"
-        self._latin = re.compile(plain.replace(r"[\p{L}]+", f"[{letters}]+").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]+", f"[^{letters}0-9]+")) if plain.count(r"\p") == 4 else None
-        self._is_latin = re.compile("[!-~À-ÖØ-öø-įı-ſ]+").fullmatch
+        self._latin = re.compile(plain.replace(r"[\p{L}]+", f"[{letters}]+").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]+", f"[^\\s{letters}0-9]+")) if plain.count(r"\p") == 4 else None
+        self._is_latin = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ\u2010-\u2027\u2030-\u205e]*").fullmatch
         self._bytes = {i: c for i, c in enumerate(_byte_symbols()) if chr(i) != c}
-        self._pieces: dict[str, list[int]] = {}
-
-    def forget(self) -> None:
-        self._pieces.clear()
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            if len(self._pieces) >= WORDS_HELD:
-                self._pieces.clear()
-            ids = self._pieces[piece] = self.automaton.encode(piece)
-        return ids
-
-    def _plain(self, word: str) -> list[int]:
-        if self._latin and self._is_latin(word):
-            word = word.lower()
-            pieces = [word] if word.isalpha() else self._latin.findall(word)
-            if not word.isascii():
-                pieces = [p.encode().decode("latin-1").translate(self._bytes) for p in pieces]
-        else:
-            pieces = [p for p, _ in self._split(self._normal(word))]
-        return [i for p in pieces for i in self._piece(p)] if len(pieces) != 1 else self._piece(pieces[0])
-
-    def word(self, word: str) -> list[int]:
-        """The ids of a run of text without ASCII white space."""
-        if self._special and "<" in word:
-            return [i for part in self._special.split(word) if part for i in ([self.special[part]] if part in self.special else self._plain(part))]
-        return self._plain(word)
+
+    def symbols(self, piece: str) -> str:
+        """A normal piece as the symbols of its bytes."""
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._bytes)
+
+    def pieces(self, text: str) -> Iterable[str | int]:
+        """The pieces of a text: normal ones; symbols, marked by a zero in front, of those that only the library
+        normalises; ids of special tokens."""
+        if self._special and "<" in text and self._special.search(text):
+            return [x for part in self._special.split(text) if part for x in ([self.special[part]] if part in self.special else self.pieces(part))]
+        if self._latin and self._is_latin(text):
+            return self._latin.findall(text.lower())
+        words = text.encode("utf-8", "surrogatepass").split()
+        if len(words) > 1:
+            return [x for w in words for x in self.pieces(w.decode("utf-8", "surrogatepass"))]
+        return ["\0" + p for p, _ in self._split(self._normal(text))]
+
+    def encode_pieces(self, pieces: list[str | int]) -> list[list[int]]:
+        """The ids of each piece."""
+        words = ["" if isinstance(p, int) else p[1:] if p[0] == "\0" else self.symbols(p) for p in pieces]
+        ids, at = self.automaton.encode_words(words)
+        ids, at = ids.tolist(), at.tolist()
+        return [[p] if isinstance(p, int) else ids[a:b] for p, a, b in zip(pieces, at[:-1], at[1:], strict=True)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for w in (text or "").encode("utf-8", "surrogatepass").split() for i in self.word(w.decode("utf-8", "surrogatepass"))]
+        return [i for ids in self.encode_pieces(list(self.pieces(text or ""))) for i in ids]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined by a space as the library joins tokens without a decoder."""
@@ -227,18 +332,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class _Words(dict):
-    """Raw word -> (its ids in decimal, its labels), each id and label followed by a space."""
+class _Pieces(dict):
+    """Piece -> (its ids in decimal, its labels), each id and label followed by a space."""
 
     def __init__(self, path: str):
         self.of = encoder(path)
+        self.number = [b"%d " % i for i in range(self.of.automaton.size + len(self.of.special))]
+        self.spelt = [self.of.label.get(i, "").encode() + b" " for i in range(len(self.number))]
 
-    def __missing__(self, word: bytes) -> tuple[bytes, bytes]:
-        if len(self) >= WORDS_HELD:
+    def learn(self, pieces: Iterable[str | int]) -> None:
+        """Encodes the pieces that are not known yet, together."""
+        new = set(pieces).difference(self)
+        if len(self) + len(new) > WORDS_HELD:
             self.clear()
-        ids = self.of.word(word.decode())
-        found = self[word] = (b"".join(b"%d " % i for i in ids), "".join(self.of.label[i] + " " for i in ids).encode())
-        return found
+            new = set(pieces)
+        new = list(new)
+        number, spelt = self.number.__getitem__, self.spelt.__getitem__
+        self.update((p, (b"".join(map(number, ids)), b"".join(map(spelt, ids)))) for p, ids in zip(new, self.of.encode_pieces(new), strict=True))
 
 
 def encode_documents(docs, path: str, id_col: str = "doc_id", text_col: str = "text"):
@@ -275,22 +385,28 @@ def encode_digests(docs, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         # A table for the task: a worker that goes on to other work holds none.
-        words = _Words(path)
-        get = words.__getitem__
+        known = _Pieces(path)
+        get, pieces = known.__getitem__, known.of.pieces
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, ids, texts = [], [], []
-                for t in part.column(1).cast(pa.binary()):
-                    t = t.as_py()
-                    found = list(map(get, t.split())) if t else []
-                    spelt = b"".join([x[0] for x in found])
-                    n.append(spelt.count(b" "))
-                    ids.append(digest(spelt[:-1]))
-                    texts.append(digest(b"".join([x[1] for x in found])[:-1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        words.of.forget()
-        words.clear()
+            texts, at = batch.column(1), 0
+            while at < batch.num_rows:
+                # As many whole texts as make up a few megabytes; their new pieces are encoded together.
+                held, size, start = [], 0, at
+                while at < batch.num_rows and size < TEXT_BYTES:
+                    t = texts[at].as_py() or ""
+                    held.append(list(pieces(t)))
+                    size += len(t)
+                    at += 1
+                known.learn(list(chain.from_iterable(held)))
+                n, ids, spelt = [], [], []
+                for text in held:
+                    found = list(map(get, text))
+                    told = b"".join([x[0] for x in found])
+                    n.append(told.count(b" "))
+                    ids.append(digest(told[:-1]))
+                    spelt.append(digest(b"".join([x[1] for x in found])[:-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), pa.array(n, pa.int64()), pa.array(ids), pa.array(spelt)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        known.clear()
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return out.mapInArrow(tidy(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
