@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import random
 import zlib
 from collections import Counter
@@ -157,27 +159,62 @@ def test_shards(documents, odd, nothing):
     for r in got:
         together.setdefault(text[r["doc_id"]], set()).add(r["shard"])
     assert all(len(x) == 1 for x in together.values())
-    groups = Counter()
-    for r in got:
-        groups[text[r["doc_id"]]] += r["size"]
-    plain = Counter()
-    for s, n in zip(sharding.schedule([(i, n) for i, n in enumerate(groups.values())], 40).values(), sorted(groups.values(), reverse=True), strict=True):
-        plain[s] += n
     loads = Counter()
     for r in got:
         loads[r["shard"]] += r["size"]
-    assert sorted(loads.values()) == sorted(plain.values())
     for s in loads:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert sharding.shard(odd).count() == odd.count() and sharding.shard(nothing).count() == 0
 
 
-def test_bundles_keep_shards_near_equal(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "BUNDLES", 20)
-    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), (F.col("id") % 50).cast("int")).alias("text"))
-    loads = sharding.shard(df, 8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
-    n = [r["n"] for r in loads]
-    assert len(n) == 8 and max(n) / min(n) < 1.02
+def plain_schedule(groups, shards):
+    """Digest -> shard: every group on its own, largest first, to the least loaded."""
+    heap, placed = [(0, s) for s in range(shards)], {}
+    for digest, size in sorted(groups.items(), key=lambda x: (-x[1], x[0])):
+        load, s = heapq.heappop(heap)
+        placed[digest] = s
+        heapq.heappush(heap, (load + size, s))
+    return placed
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_turns_of_a_run(seed):
+    rng = random.Random(seed)
+    shards, size = rng.randint(1, 9), rng.randint(1, 12)
+    loads = [rng.choice([0, 5, 12, 40, 41, 300]) for _ in range(shards)]
+    heap, want = [(x, s) for s, x in enumerate(loads)], []
+    heapq.heapify(heap)
+    for _ in range(400):
+        load, s = heapq.heappop(heap)
+        want.append(s)
+        heapq.heappush(heap, (load + size, s))
+    ranks = np.array(rng.sample(range(400), 300))
+    assert sharding.turns(np.array(loads), size, ranks).tolist() == [want[r] for r in ranks]
+
+
+def test_schedule_is_the_plain_one_above_40000_groups(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 700)
+    many = spark.range(45_000).select(F.col("id").alias("doc_id"), F.concat(F.lpad(F.col("id").cast("string"), 6, "x"), F.repeat(F.lit("y"), (F.pow(F.col("id") % 17, F.lit(2))).cast("int"))).alias("text"))
+    again = many.where("doc_id < 30").withColumn("doc_id", F.lit(7).cast("long"))
+    df = many.unionByName(again).unionByName(documents.select("doc_id", "text"))
+    rows = df.collect()
+    groups = Counter()
+    for r in rows:
+        groups[hashlib.sha256(r["text"].encode()).hexdigest()] += len(r["text"].encode()) + 16
+    want = plain_schedule(groups, 40)
+    got = sharding.shard(df).collect()
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in got) == Counter((r["doc_id"], zlib.crc32(r["text"].encode()), want[hashlib.sha256(r["text"].encode()).hexdigest()]) for r in rows)
+    for s in range(40):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_a_row_repeated_ten_thousand_times(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 100)
+    df = spark.range(12_000).select(F.when(F.col("id") < 10_000, 5).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 10_000, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    got = sharding.shard(df, 4).collect()
+    assert len(got) == 12_000 and len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
 @pytest.mark.parametrize("shard,leaf", [(4096, 128), (60, 4)])
