@@ -7,7 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import shingles
+from helpers import shingles, words
+from pyspark.sql import functions as F
 
 from blockloom.llm import fingerprint, jaccard, licenses
 
@@ -108,23 +109,70 @@ def test_clashing_columns_are_ignored(spark):
 
 def test_fingerprints(documents):
     rows = sorted(((r["doc_id"], r["text"]) for r in documents.collect()), reverse=True)
-    found = fingerprint.fingerprints(documents).select("doc_id", "edited", "n_chars", fingerprint.spelt(fingerprint.F.col("sketch")).alias("f"), fingerprint.likeness(fingerprint.F.col("sketch"), fingerprint.F.col("edited_sketch")).alias("near"), fingerprint.likeness(fingerprint.F.col("sketch"), fingerprint.F.col("next_sketch")).alias("next"))
+    found = fingerprint.fingerprints(documents)
+    found = found.select("doc_id", "edited", "n_chars", fingerprint.spelt(F.col("sketch")).alias("f"), fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near"), fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("next"))
     got = {r["doc_id"]: r for r in found.collect()}
-    errors = []
+    by_length: dict[int, list[float]] = {}
     for n, (i, t) in enumerate(rows):
         after = rows[(n + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[i]["edited"] == edited and got[i]["n_chars"] == len(t)
         a, b, c = shingles(t, 5), shingles(edited, 5), shingles(after, 5)
-        errors += [abs(got[i]["near"] - len(a & b) / len(a | b)), abs(got[i]["next"] - len(a & c) / len(a | c))]
-    assert max(errors) < 0.3 and sum(errors) / len(errors) < 0.03
+        for near, x in ((got[i]["near"], b), (got[i]["next"], c)):
+            true, n_hashes = len(a & x) / len(a | x), len(a | x) / fingerprint.ONE_IN
+            assert abs(near - true) <= 5 * (true * (1 - true) / n_hashes) ** 0.5 + 0.02 or n_hashes < 8
+            by_length.setdefault(int(np.log2(len(a | x))), []).append(abs(near - true))
+    # The error by the number of shingles (a power of two): the rarer, the larger.
+    assert all(np.mean(e) < 0.9 / (2**n / fingerprint.ONE_IN) ** 0.5 for n, e in by_length.items() if len(e) >= 8), {n: np.mean(e) for n, e in by_length.items()}
     by_text = {}
     for i, t in rows:
         by_text.setdefault(t, set()).add(got[i]["f"])
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_sketches_hold_every_hash_below_the_threshold(spark, documents):
+    """Against the hashes of all shingles, made one by one."""
+    short = spark.createDataFrame([(-1, "One two"), (-2, "a b c d e"), (-3, " ")], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").unionByName(short)
+    by_doc = {r["doc_id"]: words(r["text"]) for r in docs.collect()}
+    runs = [(i, *w[j : j + 5]) for i, w in by_doc.items() for j in range(len(w) - 4)]
+    whole = [(i, " ".join(w)) for i, w in by_doc.items() if 0 < len(w) < 5]
+    hashed = spark.createDataFrame(runs, "i long, a string, b string, c string, d string, e string").select("i", F.xxhash64("a", "b", "c", "d", "e").alias("h"))
+    hashed = hashed.unionByName(spark.createDataFrame(whole, "i long, w string").select("i", F.xxhash64(F.lit(5), F.col("w")).alias("h")))
+    want: dict[int, set[int]] = {}
+    for r in hashed.collect():
+        if r["h"] < -(1 << 63) + (1 << 62):
+            want.setdefault(r["i"], set()).add(r["h"])
+    got = docs.select("doc_id", fingerprint.sketch(F.col("text")).alias("s")).collect()
+    assert fingerprint.ONE_IN == 4 and all(r["s"]["hashes"] == sorted(want.get(r["doc_id"], ())) for r in got)
+    assert [r["s"]["words"] for r in got if r["doc_id"] == -3] == [None]
+
+
+def ring(rows):
+    """Each row's text and its neighbour's, by descending id, null last, equal ids by falling hash of the text."""
+    ordered = sorted(rows, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"]))
+    return Counter((r["doc_id"], r["text"], ordered[(n + 1) % len(ordered)]["text"]) for n, r in enumerate(ordered))
+
+
+@pytest.mark.parametrize("range_bytes,cells", [(32 << 20, 256), (100, 4)])
+def test_neighbours_of_repeated_and_null_ids(spark, monkeypatch, range_bytes, cells):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(fingerprint, "CELLS", cells)
+    monkeypatch.setattr(fingerprint, "PIECE", 7)
+    rng = random.Random(4)
+    rows = [(None, f"null {i % 30}") for i in range(90)] + [(50, f"hot {i % 40}") for i in range(120)] + [(50, "same text")] * 30 + [(rng.randint(-5, 200) * 1000, f"one {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    distinct, hot, repeats = fingerprint._counted(df)
+    found = fingerprint.fingerprints(df)
+    assert repeats and (50 in hot)
+    # A neighbour shows in the edited text: what follows the own half.
+    want = Counter()
+    for (i, t, after), n in ring(df.withColumn("h", F.xxhash64("text")).collect()).items():
+        want[i, t[: len(t) - len(t) // 2] + after[: len(t) // 2]] += n
+    assert Counter((r["doc_id"], r["edited"]) for r in found.collect()) == want
+
+
 def test_fingerprints_of_odd_rows(odd, nothing):
     got = fingerprint.fingerprints(odd).collect()
     assert len(got) == odd.count() and all(r["n_chars"] is not None for r in got)
@@ -134,7 +182,6 @@ def test_fingerprints_of_odd_rows(odd, nothing):
 
 
 def test_sketches_merge(spark):
-    F = fingerprint.F
     a, b = " ".join(f"a{i}" for i in range(900)), " ".join(f"b{i}" for i in range(900))
     df = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, ab string")
     s = {c: fingerprint.sketch(F.col(c)) for c in ("a", "b", "ab")}
