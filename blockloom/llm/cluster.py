@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; beyond it a shuffle join runs.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key that a task may get in a join.
+HOT = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +44,24 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` left-joined with ``side`` on ``key``, a binary column that is unique in ``side``, of which ``n`` tells
+    how many rows it meets.  No task gets all rows of one key: a side of few rows is broadcast; of a larger one, the keys
+    with more than ``HOT`` rows are, and their rows and those without a key are spread over the join of the others.
+    ``side`` should be checkpointed."""
+    others = [c for c in side.columns if c != key]
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), key, "left")
+    hot = side.where(F.col(n) > HOT).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in others])
+    found = rows.join(checked_broadcast(cut(hot)), F.col(key) == F.col("_hot"), "left")
+    # Eight bytes equal no key of sixteen.
+    salted = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")))
+    found = found.withColumn("_salted", salted)
+    cold = side.where(F.col(n) <= HOT).withColumnRenamed(key, "_salted")
+    both = found.join(cold, "_salted", "left")
+    return both.select(*rows.columns, *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])
+
+
 def give_back() -> None:
     """Returns freed memory to the system.  Python workers live on between tasks, and what their allocators keep would
     count against the executor's other work."""

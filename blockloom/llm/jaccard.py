@@ -4,8 +4,8 @@ Documents are sets of word shingles; two link when ``100 * |A & B| >= percent *
 
 1. One pass counts in how many places each shingle occurs (about 2 bytes a shingle are shuffled).  The most frequent ones,
    at most ``FREQUENT_LIMIT`` of them, are broadcast.  They only set the order of the index, never drop anything.
-2. A second pass gives each document its size, a digest of its set, a parity sketch (one bit for two shingles) and its
-   prefix: the first shingles in the order rare before frequent.  Equal sets are one class from here on.
+2. A second pass gives each document its size, a digest of its set, a parity sketch (as many bits as are needed to tell
+   sets that are too different) and its prefix: the first shingles in the order rare before frequent.  Equal sets are one class from here on.
 3. Prefix shingles are the index lists.  Lists with one entry go; a document with fewer than ``SHARED`` entries left
    can link with nothing and goes too.  A list is sorted by size, each size cut into blocks by position; whole blocks
    are skipped where size or position rules every entry out (index-level skipping), and the parity sketch bounds the
@@ -17,8 +17,10 @@ Documents are sets of word shingles; two link when ``100 * |A & B| >= percent *
 5. Connected components of these links, with the members of the classes, are the result.
 
 Null or empty text has no set and links with nothing; equal texts, or texts with equal sets, always share a component.
-Rows with a null id keep it and join the component of their set.  Repeated rows are returned as often as they occur; an
-id is one document, so if it comes with several texts, one of them is compared and all share its component.
+Rows with a null id keep it and join the component of their set.  Repeated rows are returned as often as they occur and
+compared once.  An id is one document: if it comes with several texts that have words, the one whose set has the
+smallest digest is compared, and all rows of the id share its component.
+Shingles are compared by 64-bit hashes, the same in every run; different shingles of equal hash would count as one.
 Columns of the input other than id and text are ignored, whatever their names.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.cluster import checked_broadcast, components, cut, give_back, runs, tidy
+from blockloom.llm.cluster import checked_broadcast, components, cut, give_back, runs, spread_join, tidy
 
 #: A shingle in more places than this is late in the index order.
 FREQUENT = 16
@@ -124,9 +126,10 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
     return top["shingle"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), parts
 
 
-def _parity(h: np.ndarray) -> bytes:
-    """One bit for two shingles at least, a power of two of them: the parity of the shingles that fall on it."""
-    bits = max(64, 1 << int(np.ceil(np.log2(max(1, len(h)) / 2 + 1))))
+def _parity(h: np.ndarray, percent: int) -> bytes:
+    """A power of two bits: the parities of the shingles that fall on each.  Sets that differ in d shingles differ in d
+    bits at most; unrelated ones differ in half the bits, so a little over twice the largest d that links is enough."""
+    bits = max(64, 1 << int(np.ceil(np.log2(max(1, 4.4 * len(h) * (100 - percent) / (100 + percent))))))
     odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -156,7 +159,7 @@ def _signatures(k: int, percent: int, frequent, parts: int) -> Callable[[Iterato
                         rare = np.concatenate((rare, often[np.argsort(n[often], kind="stable")][: p - len(rare)]))
                     prefix.append(s[rare])
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    parity.append(_parity(s))
+                    parity.append(_parity(s, percent))
                 values = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
                 at = np.zeros(hi - lo + 1, np.int64)
                 np.cumsum(length, out=at[1:])
@@ -321,18 +324,27 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot, hot_n, parts = frequent_shingles(docs, k)
     frequent = spark.sparkContext.broadcast((hot, hot_n))
     signed = cut(docs.mapInArrow(tidy(_signatures(k, percent, frequent, parts)), "id long, size long, digest binary, parity binary, prefix array<long>"))
-    sets = cut(signed.where("size > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("size").alias("size")))
-    # The representatives' signatures: the rows that are no copies of another stay where they are.
-    some = signed.where("size > 0 and id is not null")
-    copies = cut(some.select("id", "digest").join(sets.select("digest", "rep"), "digest").where("id <> rep").select("id", "digest").distinct())
-    first = some.join(checked_broadcast(copies), ["id", "digest"], "left_anti").withColumnRenamed("id", "rep")
+    # The rows of an id share the set that counts for it (own).
+    repeated = cut(signed.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    repeats = not repeated.isEmpty()
+    if repeats:
+        chosen = signed.where("size > 0").join(checked_broadcast(repeated), "id").groupBy("id").agg(F.min("digest").alias("chosen"))
+        chosen = checked_broadcast(cut(chosen))
+        signed = signed.join(chosen, "id", "left").withColumn("own", F.coalesce("chosen", F.expr("if(size > 0, digest, null)"))).drop("chosen")
+    else:
+        signed = signed.withColumn("own", F.expr("if(size > 0, digest, null)"))
+    # Sets of more than one row, and one row each of the sets to compare: most rows are no copies and stay where they are.
+    classes = cut(signed.where("own is not null").groupBy("own").agg(F.min("id").alias("rep"), F.count("*").alias("members")).where("members > 1 and rep is not null"))
+    compared = spread_join(signed.where("id is not null and own = digest"), classes, "own", "members")
+    once = compared.where("rep is null").withColumn("rep", F.col("id"))
+    first = once.unionByName(compared.where("rep = id").dropDuplicates(["rep"])).select("rep", "size", "parity", "prefix")
 
     # Index lists with two entries at least, of documents with enough of them.
     entry = first.select("rep", F.posexplode("prefix").alias("pos", "shingle"))
     entry = entry.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1")
     least = F.least(F.lit(SHARED), F.expr(f"int(ceil({percent} * size / 100))"))
-    own = entry.groupBy("rep").agg(F.collect_list(F.struct("shingle", "pos")).alias("own"))
-    entry = own.join(first.select("rep", "size", "parity"), "rep").where(F.size("own") >= least).select("rep", "size", "parity", F.inline("own"))
+    listed = entry.groupBy("rep").agg(F.collect_list(F.struct("shingle", "pos")).alias("listed"))
+    entry = listed.join(first.select("rep", "size", "parity"), "rep").where(F.size("listed") >= least).select("rep", "size", "parity", F.inline("listed"))
     # The first shared shingle of two linked sets is in the shorter prefix that does without SHARED.
     entry = entry.where(f"pos <= size - int(ceil({percent} * size / 100))")
     by_list = Window.partitionBy("shingle")
@@ -345,29 +357,35 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Groups of candidates, their whole sets, the links among them.
     groups = components(candidates).select(F.col("node").alias("id"), "component")
-    groups = cut(groups.join(sets.select(F.col("rep").alias("id"), "size"), "id"))
+    groups = cut(groups.join(first.select(F.col("rep").alias("id"), "size"), "id"))
     groups = groups.withColumn("blocks", F.expr(f"cast(ceil(sum(size) over (partition by component) / {GROUP_BLOCK}) as long)"))
     groups = cut(groups.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as long)")).select("id", "component", "block", "blocks"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, off in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), T.blobs(h, off)], names=["id", "shingles"])
-
-    small = checked_broadcast(groups.select("id").distinct())
-    members = docs.join(small, "id", "left_semi").select("id", "text").mapInArrow(tidy(whole), "id long, shingles binary").dropDuplicates(["id"])
-    members = _cells(members.join(groups, "id"), "block", "blocks")
+                digest = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), T.blobs(h, off)], names=["id", "digest", "shingles"])
+
+    asked = checked_broadcast(groups)
+    members = docs.join(asked.select("id"), "id", "left_semi").select("id", "text").mapInArrow(tidy(whole), "id long, digest binary, shingles binary")
+    if repeats:
+        members = members.join(chosen, "id", "left")
+        several = members.where("chosen is not null and digest = chosen").dropDuplicates(["id"])
+        members = members.where("chosen is null").unionByName(several)
+    members = _cells(members.join(asked, "id"), "block", "blocks")
     dealt = members.select("component", "cell", "id", "shingles").repartition("component", "cell").sortWithinPartitions("component", "cell", "id")
     links = dealt.mapInArrow(tidy(_links(percent)), "a long, b long")
-    joined = components(links).select(F.col("node").alias("rep"), "component")
+    joined = cut(components(links).select(F.col("node").alias("rep"), "component"))
 
     # Members of classes; most documents are the only one of their class and of their component.
-    classes = sets.select("digest", "rep", "members").join(joined, "rep", "left")
-    classes = classes.where("members > 1 or component is not null").select("digest", "rep", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "size", "digest").join(classes, "digest", "left")
+    told = cut(classes.join(joined, "rep", "left").select("own", "rep", "members", "component"))
+    out = spread_join(signed.select("id", "size", "own"), told, "own", "members")
+    alone = checked_broadcast(joined.select(F.col("rep").alias("_id"), F.col("component").alias("_component")))
+    out = out.join(alone, F.when(F.col("rep").isNull() & F.col("own").isNotNull(), F.col("id")) == F.col("_id"), "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("size").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
+        F.coalesce("component", "rep", "_component", "id").alias("component_id"),
         F.coalesce("rep", "id").alias("class_id"),
     )

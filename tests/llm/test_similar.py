@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from helpers import shingles, words
 from pyspark.sql import functions as F
 
-from blockloom.llm import fingerprint, jaccard, licenses
+from blockloom.llm import cluster, fingerprint, jaccard, licenses
 
 
 def brute(rows, k, percent):
@@ -94,6 +95,32 @@ def test_answers_derived_from_a_similar_set_equal_counted_ones():
     assert all((find(a, root) == find(b, root)) == (find(a, full) == find(b, full)) for a in range(60) for b in range(a))
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_a_thousand_repeats_of_a_row(spark, documents, monkeypatch, broadcast):
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(cluster, "HOT", 20)
+    rng = random.Random(8)
+    text = [f"w{rng.randint(0, 9999)}" for _ in range(300)]
+    near = [*text[:-1], "other"]
+    few = documents.select("doc_id", "text").limit(150)
+    df = few.unionByName(spark.createDataFrame([(-5, " ".join(text))] * 1000 + [(-7, " ".join(near))] * 3, "doc_id long, text string"))
+    want, size = brute([(r["doc_id"], r["text"]) for r in df.distinct().collect()], 3, 90)
+    began = time.monotonic()
+    got = jaccard.similar_sets(df, k=3, percent=90).collect()
+    assert time.monotonic() - began < 60
+    assert Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == Counter((r["doc_id"], want[r["doc_id"]], size[r["doc_id"]]) for r in df.collect())
+
+
+def test_an_id_with_several_texts(spark):
+    """One of the texts counts, the same in every run, and all rows of the id share its component."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    df = spark.createDataFrame([(1, a), (2, a), (3, b), (9, a), (9, b), (9, None), (None, b), (None, "x y z")], "doc_id long, text string")
+    runs = [Counter(map(tuple, jaccard.similar_sets(df.repartition(n), k=3, percent=90).select("doc_id", "n_shingles", "component_id").collect())) for n in (1, 3, 4)]
+    assert runs[0] == runs[1] == runs[2]
+    of = {(i, n): c for i, n, c in runs[0]}
+    assert of[9, 0] == of[9, 48] and of[9, 48] in (1, 3) and of[1, 48] == of[2, 48] == 1 and of[3, 48] == of[None, 48] == 3 and of[None, 1] is None
+
+
 def test_odd_rows(odd, nothing):
     got = jaccard.similar_sets(odd, k=3, percent=90).collect()
     assert len(got) == odd.count()
