@@ -44,6 +44,26 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_copies(rows: DataFrame, most: int, piece: int = 4_000) -> DataFrame:
+    """Each row as often as ``copies`` says (at most ``most``), numbered by ``copy`` from 0; a row with very many is dealt
+    to several tasks before it is repeated."""
+    start = F.lit(0).cast("long")
+    if most > piece:
+        rows = rows.withColumn("_from", F.explode(F.sequence(start, F.col("copies") - 1, F.lit(piece).cast("long")))).repartition(*rows.columns[:3], "_from")
+    else:
+        rows = rows.withColumn("_from", start)
+    last = F.least(F.col("copies"), F.col("_from") + piece) - 1
+    return rows.withColumn("copy", F.explode(F.sequence(F.col("_from"), last))).drop("_from")
+
+
 def spread_join(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` left-joined with ``side`` on ``key``, a binary column that is unique in ``side``, of which ``n`` tells
     how many rows it meets.  No task gets all rows of one key: a side of few rows is broadcast; of a larger one, the keys

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.cluster import checked_broadcast, cut, tidy
+from blockloom.llm.cluster import checked_broadcast, cut, spread_copies, tidy
 
 #: Rows that are numbered together.
 PART = 4_000
@@ -160,17 +160,6 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     before = Window.partitionBy("shard", "part").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("within", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(start, ["shard", "part"])
     numbered = numbered.withColumn("slot", (F.col("start") + F.col("within")).cast("long"))
-    each = spread_copies(numbered.select("doc_id", "size", "text_crc32", "shard", "slot", "copies"), rows)
+    each = spread_copies(numbered.select("slot", "shard", "doc_id", "size", "text_crc32", "copies"), rows.agg(F.max("copies")).first()[0] or 1, PART)
     return each.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("slot") + F.col("copy")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
-
-def spread_copies(numbered: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each row as often as ``copies`` says, numbered by ``copy``; a row with very many goes to several tasks."""
-    most = rows.agg(F.max("copies")).first()[0] or 1
-    if most > PART:
-        piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PART).cast("long")))
-        numbered = numbered.withColumn("_from", piece).repartition("_from", "slot")
-    else:
-        numbered = numbered.withColumn("_from", F.lit(0).cast("long"))
-    last = F.least(F.col("copies"), F.col("_from") + PART) - 1
-    return numbered.withColumn("copy", F.explode(F.sequence(F.col("_from"), last))).drop("_from")
