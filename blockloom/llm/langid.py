@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.cluster import tidy
+from blockloom.llm.cluster import checked_broadcast, cut, tidy
 
 RANKS = 400
 LONGEST = 3
@@ -127,11 +127,11 @@ def held_out(id_col: str):
 def learn(docs: DataFrame, may_learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trained: int = TRAINED) -> Profiles:
     """Profiles from rows where ``may_learn`` holds and the language is not null."""
     rows = docs.where(may_learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and id is not null")
-    size = rows.groupBy("lang").count().collect()
-    if not size:
+    size = cut(rows.groupBy(F.col("lang").alias("_l")).agg(F.count("*").alias("_n")))
+    if size.isEmpty():
         return Profiles({})
-    limit = F.create_map(*[x for r in size for x in (F.lit(r["lang"]), F.lit(int(min(1.0, trained / r["count"]) * (1 << 20))))])
-    sample = rows.where(F.expr("pmod(xxhash64(id, 29L), 1048576)") < limit[F.col("lang")]).select("lang", "text")
+    share = F.least(F.lit(1.0), F.lit(trained) / F.col("_n")) * (1 << 20)
+    sample = rows.join(checked_broadcast(size), F.col("lang") == F.col("_l")).where(F.expr("pmod(xxhash64(id, 29L), 1048576)") < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}

@@ -5,8 +5,9 @@ score, and the expected severity is the sum of these probabilities over k.
 
 Features are words (runs of letters and digits, lower-cased) and their first ``PREFIXES`` bytes, which stand for the
 stem of inflected words; a feature's value is log(1 + occurrences in the whole text).  The labels only say toxic or
-not.  Grade 0 is not toxic; toxic rows get grades 1 to 3 by how many occurrences of features that mark toxic text they
-have, cut at the terciles of the toxic rows.
+not, so the grades are learnt from held-out agreement: the labelled rows are dealt into ``GRADES`` parts, a model of two
+levels is fitted on each, and a toxic row gets grade 1 and one more for each model of another part, which has not seen
+it, that calls it toxic.  Grade 0 is not toxic.  Grades that no row gets are left out.
 
 The model is fitted on at most about ``LABELLED`` labelled rows, drawn by a hash of their id; features must mark toxic
 text beyond chance (likelihood ratio of at least ``LEAST_RATIO``), and the ``FEATURES`` strongest are used.  Scoring
@@ -14,7 +15,8 @@ reads every whole text.
 
 Null and empty texts have no features and get the model's lowest severity; without any marked feature (no labels, one
 class only) every severity is 0.  Labels with a null id or grade, and labels of unknown documents, are ignored; a
-document labelled twice counts twice.  Repeated rows are returned as often as they occur; other columns are ignored.
+label that repeats counts once, and a document labelled both ways counts as both.  Of a repeated id the smallest text is
+learnt from.  Repeated rows are returned as often as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.cluster import cut, tidy
+from blockloom.llm.cluster import checked_broadcast, cut, tidy
 
 LABELLED = 20_000
 FEATURES = 1_000
@@ -161,11 +163,12 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Model:
     """The model, from a bounded sample of labelled rows."""
-    known = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).alias("toxic")).where("id is not null and toxic is not null")
+    known = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) > 0).alias("toxic")).where("id is not null and toxic is not null").distinct()
     total = known.count()
-    known = known.where(F.expr(f"pmod(xxhash64(id, 17L), 1048576) < {int(min(1.0, labelled / max(1, total)) * 1048576)}"))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
-    sample = cut(sample.select("toxic", "text"))
+    known = cut(known.where(F.expr(f"pmod(xxhash64(id, 17L), 1048576) < {int(min(1.0, labelled / max(1, total)) * 1048576)}")))
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(checked_broadcast(known), "id")
+    part = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(GRADES)).cast("int")
+    sample = cut(sample.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", part.alias("part")))
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, total = size.get(True, 0), sum(size.values())
@@ -186,20 +189,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for lo, hi, row, place, n in _hits(batch, 1, features):
                 off = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), T.ragged(place, off, pa.int64()), T.ragged(n, off, pa.int64())], names=["toxic", "place", "n"])
+                toxic_part = [batch.column(c).slice(lo, hi - lo) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*toxic_part, T.ragged(place, off, pa.int64()), T.ragged(n, off, pa.int64())], names=["toxic", "part", "place", "n"])
 
-    got = sample.mapInArrow(tidy(rows), "toxic boolean, place array<long>, n array<long>").toPandas()
+    got = sample.mapInArrow(tidy(rows), "toxic boolean, part int, place array<long>, n array<long>").toPandas()
     length = got["place"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), length)
     place = np.concatenate([np.asarray(x, np.int64) for x in got["place"]])
     n = np.concatenate([np.asarray(x, np.int64) for x in got["n"]])
     is_toxic = got["toxic"].to_numpy(bool)
-    hits = np.bincount(row, n, len(got))
-    cuts = np.quantile(hits[is_toxic], [i / GRADES for i in range(1, GRADES)])
-    grade = np.where(is_toxic, 1 + np.searchsorted(np.unique(cuts), hits, side="left"), 0)
+    grade = _agreed(row, place, np.log1p(n), is_toxic, got["part"].to_numpy(), len(features))
     return Model(features, *fit_ordinal(row, place, np.log1p(n), grade, len(features)))
 
 
+def _agreed(row: np.ndarray, place: np.ndarray, value: np.ndarray, is_toxic: np.ndarray, part: np.ndarray, n_features: int) -> np.ndarray:
+    """The rows' grades: 0 if not toxic, else 1 and one more for each model fitted on another part that calls the row
+    toxic; grades from 0 without a gap."""
+    votes = np.zeros(len(is_toxic), np.int64)
+    for p in range(GRADES):
+        own = part[row] == p
+        here = np.flatnonzero(part == p)
+        if not is_toxic[here].any() or is_toxic[here].all():
+            continue
+        index = np.zeros(len(part), np.int64)
+        index[here] = np.arange(len(here))
+        w, theta = fit_ordinal(index[row[own]], place[own], value[own], is_toxic[here].astype(np.int64), n_features, steps=300)
+        score = np.bincount(row, value * w[place], len(part))
+        votes += (part != p) & (score >= theta[0])
+    return np.unique(np.where(is_toxic, 1 + votes, 0), return_inverse=True)[1]
+
+
 def score(docs: DataFrame, model: Model, reject_at: float = REJECT_AT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, expected_severity (0 to the highest grade), p_toxic (P(grade >= 1)), severity_grade and is_toxic
     (p_toxic at least ``reject_at``)."""
