@@ -1,13 +1,15 @@
 """Token ids in independent zstandard frames with a trailing seek table.
 
 A file is a row of zstandard frames, each of whole documents' ids (little-endian unsigned 32-bit) up to about
-``FRAME_BYTES``, then one frame with the documents' ids and lengths, then a skippable frame with the seek table of the
+``FRAME_BYTES``, then one frame with the documents' ids, lengths and whether the id is null, then a skippable frame with the seek table of the
 public zstandard seekable format: for each frame its compressed and decompressed size and a checksum (the low 32 bits
 of XXH64 of its content).  Any zstandard tool can decompress the file; a reader of some documents reads the seek table
 and the last frame and decompresses only the frames that hold them, checking each.
 
-Documents are dealt out by ranges of their id, so files and rows are in ascending order (null ids first, equal ids by
-text).  A file is written under a name of its own and then renamed: a task that runs twice leaves one file.
+Documents are dealt out by ranges of their id, so files and rows are in ascending order: null ids first, equal ids by a
+hash of the text, then by the text.  If an id has more than ``HOT`` rows, the ranges go by id, hash and place in the
+table, so that no file must hold all rows of one id.  A path without a scheme belongs to the cluster's default file
+system, which all executors see.  A file is written under a name of its own and then renamed: a task that runs twice leaves one file.
 Null text is empty and has the end id only; repeated rows are stored as often as they occur; empty tables give none.
 """
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.cluster import cut, shared_folder, tidy
@@ -37,6 +39,8 @@ from blockloom.llm.cluster import cut, shared_folder, tidy
 FRAME_BYTES = 256 << 10
 #: Words held by a task's table of encoded words; a full table is emptied.
 WORDS_HELD = 800_000
+#: Rows of one id that one file may have to hold.
+HOT = 10_000
 #: Bytes of text whose new words are looked up together.
 TEXT_BYTES = 8 << 20
 
@@ -72,9 +76,11 @@ class Writer:
         self._table: list[tuple[int, int, int]] = []
         self._ids: list[int] = []
         self._lengths: list[int] = []
+        self._null: list[bool] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self._ids.append(-(1 << 63) if doc_id is None else doc_id)
+        self._ids.append(0 if doc_id is None else doc_id)
+        self._null.append(doc_id is None)
         self._lengths.append(len(ids) // 4)
         self._held.append(ids)
         self._size += len(ids)
@@ -94,7 +100,7 @@ class Writer:
         """Writes index and seek table and gives the file its name; returns the number of ids in it."""
         if self._held:
             self._flush()
-        self._frame(np.array([self._ids, self._lengths], "<i8").tobytes())
+        self._frame(np.array([self._ids, self._lengths, self._null], "<i8").tobytes())
         table = b"".join(struct.pack("<III", *row) for row in self._table)
         table += struct.pack("<IBI", len(self._table), HAS_CHECKSUMS, SEEKABLE_MAGIC)
         self._out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table)
@@ -117,7 +123,8 @@ class Reader:
         self._packed, self._plain, self._sum = (table[:, i].astype(np.int64) for i in range(3))
         self._offset = np.concatenate(([0], np.cumsum(self._packed)))
         self._zip = zstandard.ZstdDecompressor()
-        self.doc_ids, self.lengths = np.frombuffer(self.frame(n - 1), "<i8").reshape(2, -1)
+        self.doc_ids, self.lengths, null = np.frombuffer(self.frame(n - 1), "<i8").reshape(3, -1)
+        self.null = null != 0
         self._frame_start = np.concatenate(([0], np.cumsum(self._plain[: n - 1])))
         self._doc_start = np.concatenate(([0], np.cumsum(self.lengths * 4)))
         self.frames = n - 1
@@ -135,7 +142,7 @@ class Reader:
 
     def read(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, bytes]]:
         """(place in the file, bytes of the ids) of all documents, or of those with the wanted ids."""
-        places = range(len(self.doc_ids)) if wanted is None else np.flatnonzero(np.isin(self.doc_ids, list(wanted))).tolist()
+        places = range(len(self.doc_ids)) if wanted is None else np.flatnonzero(np.isin(self.doc_ids, list(wanted)) & ~self.null).tolist()
         held, data = -1, b""
         for p in places:
             start, end = int(self._doc_start[p]), int(self._doc_start[p + 1])
@@ -239,8 +246,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str
             tokens = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}.ids.zst"], "docs": [n], "tokens": [tokens]})
 
+    folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    hot = not rows.groupBy("id").count().where(F.col("count") > HOT).isEmpty()
+    if hot:
+        ranged = rows.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange("id", "h", "place")
+    else:
+        ranged = rows.repartitionByRange("id").withColumn("h", F.xxhash64("text"))
+    ranged = ranged.sortWithinPartitions("id", "h", "text").select("id", "text")
     return cut(ranged.mapInArrow(tidy(run), "part long, path string, docs long, tokens long"))
 
 
@@ -253,7 +266,7 @@ def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = Reader(path)
                 crc = [zlib.crc32(data) for _, data in file.read()]
-                ids = pa.array(file.doc_ids, mask=file.doc_ids == -(1 << 63))
+                ids = pa.array(file.doc_ids, mask=file.null)
                 begin = start + np.concatenate(([0], np.cumsum(file.lengths)))[:-1]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(begin), pa.array(file.lengths), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
                 file.close()
@@ -264,6 +277,18 @@ def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return placed.mapInArrow(tidy(run), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without belongs to the cluster's default file system, not to a machine's disk."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def new_folder(docs: DataFrame) -> str:
     """A fresh folder for files in the cluster's shared folder."""
     return f"{shared_folder(docs.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe, fingerprint, idstore, jaccard, langid, licenses, mixing, sharding, topk, toxicity
+from blockloom.llm.cluster import cut
 
 #: The tokenizer file of the queries, by its public name.
 TOKENIZER = "word_bpe_49k.json"
@@ -76,7 +77,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return idstore.read(idstore.write(docs, _tokenizer(), idstore.new_folder(docs), end_id=2))
+    folder = idstore.new_folder(docs)
+    rows = cut(idstore.read(idstore.write(docs, _tokenizer(), folder, end_id=2)))
+    idstore.remove(spark, folder)
+    return rows
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from blockloom.llm import bpe, idstore
@@ -84,7 +85,7 @@ def test_id_files(documents, odd, nothing, tokenizer, tmp_path):
     for n, df in enumerate((documents, odd)):
         files = idstore.write(df, tokenizer, str(tmp_path / str(n)), end_id=2)
         got = sorted(idstore.read(files).collect(), key=lambda r: r["start"])
-        rows = sorted(df.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+        rows = sorted(df.withColumn("h", F.xxhash64("text")).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
         assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
         start = 0
         for r, d in zip(got, rows, strict=True):
@@ -94,6 +95,22 @@ def test_id_files(documents, odd, nothing, tokenizer, tmp_path):
     assert idstore.read(idstore.write(nothing, tokenizer, str(tmp_path / "none"), end_id=2)).count() == 0
 
 
+def test_files_of_a_repeated_id(spark, tokenizer, tmp_path, monkeypatch):
+    """Its rows are in several files, the order holds, and a null id is no number."""
+    monkeypatch.setattr(idstore, "HOT", 50)
+    lowest = -(1 << 63)
+    rows = [(5, f"text {i % 100}") for i in range(400)] + [(None, "none"), (lowest, "least")] + [(i, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = idstore.write(df, tokenizer, str(tmp_path / "hot"), end_id=2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(idstore.read(files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, lowest, *sorted(i for i, _ in rows if i is not None and i > lowest)]
+    assert files.count() > 1
+    idstore.remove(spark, str(tmp_path / "hot"))
+    assert not (tmp_path / "hot").exists()
+
+
 def test_only_asked_frames_are_read(tmp_path, monkeypatch):
     import zstandard
 
