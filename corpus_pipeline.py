@@ -2,19 +2,20 @@
 
 Each stage takes and returns the columns of documents, the last returns one row of token digests a document.  Every
 stage works on all rows that its predecessor kept and treats nulls, empty and long texts, repeated rows and empty
-tables as its operator does; columns that it does not know pass through.  Rows with a null id pass the first two stages
-like others and are never removed as duplicates.  Rows that repeat an id count as one document from the third stage on:
-the one whose text sorts first.
+tables as its operator does; columns that it does not know pass through, whatever their names.  Rows with a null id pass
+the first two stages like others and are never removed as duplicates.  Rows that repeat an id count as one document from
+the third stage on: the one whose text sorts first.  The mix takes whole documents, so a source may miss its target by
+half a document for each group of a source that is mixed.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe, jaccard, langid, mixing, toxicity
-from blockloom.llm.cluster import checked_broadcast, cut
+from blockloom.llm.cluster import checked_broadcast, cut, fresh
 
 #: A text nearer than this to no learnt language goes; clean text scores 0.4 and more.
 LEAST_SCORE = 0.25
@@ -38,21 +39,23 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates stays."""
-    found = cut(jaccard.similar_sets(docs, k=SHINGLE, percent=PERCENT))
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(checked_broadcast(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    found = cut(jaccard.similar_sets(docs, k=SHINGLE, percent=PERCENT).select("doc_id", "component_id"))
+    name, text = fresh(docs, "gone"), fresh(docs, "first")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    kept = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col(name), "left_anti")
+    again = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name))
     if again.isEmpty():
         return kept
     again = checked_broadcast(again)
-    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-    repeats = kept.join(again, kept["doc_id"] == F.col("_again"), "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
-    return kept.join(again, kept["doc_id"] == F.col("_again"), "left_anti").unionByName(repeats)
+    # One row of an id: the smallest by text (null last), then by the other columns.
+    others = F.struct(F.col("text").isNull().alias("n"), F.col("text").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    repeats = kept.join(again, F.col("doc_id") == F.col(name), "left_semi").groupBy("doc_id").agg(F.min(others).alias(text)).select(f"{text}.row.*")
+    return kept.join(again, F.col("doc_id") == F.col(name), "left_anti").unionByName(repeats)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole documents; what it does not take goes."""
-    return mixing.repeated(docs, mixing.mix(mixing.sized(docs), WEIGHTS, MOST))
+    return mixing.repeated(docs, WEIGHTS, MOST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  What a stage keeps is written to the shared checkpoint folder, for the next one reads it
+    several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

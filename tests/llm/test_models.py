@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import random
 import zlib
 from collections import Counter
@@ -14,6 +15,7 @@ from helpers import words
 from pyspark.sql import functions as F
 
 from blockloom.llm import langid, mixing, sharding, topk, toxicity
+from blockloom.llm import text as T
 
 
 def test_ordinal_regression_recovers_order():
@@ -53,6 +55,41 @@ def test_toxic_documents_are_found_by_words_and_stems(spark):
     assert (np.diff(model.thresholds) > 0).all()
 
 
+def test_severity_by_brute_force(spark):
+    """Probabilities and severities from the model's numbers, in plain Python, word by word."""
+    docs, labels = planted(spark)
+    model = toxicity.fit(docs, labels)
+    hashed = {}
+
+    def feature(word: str, length: int | None) -> int:
+        data = np.frombuffer(word.encode(), np.uint8)
+        word_hash, st, en, _ = T.words(data, np.array([0, len(data)]), T.NOT_ALNUM)
+        return int(word_hash[0] if length is None else T.prefixes(data, st, en, length)[1][0])
+
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.limit(80).collect():
+        n = Counter()
+        for w in "".join(c if c.isalnum() else " " for c in r["text"].lower()).split():
+            for length in (None, *(x for x in toxicity.PREFIXES if len(w.encode()) > x)):
+                n[hashed.setdefault((w, length), feature(w, length))] += 1
+        score = sum(math.log1p(k) * weight[f] for f, k in n.items() if f in weight)
+        p = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert got[r["doc_id"]]["expected_severity"] == pytest.approx(sum(p)) and got[r["doc_id"]]["p_toxic"] == pytest.approx(p[0])
+        assert got[r["doc_id"]]["severity_grade"] == sum(x >= 0.5 for x in p)
+
+
+def test_grades_come_from_models_that_have_not_seen_the_row():
+    rng = np.random.default_rng(2)
+    is_toxic = np.arange(300) % 3 == 0
+    part = rng.integers(0, toxicity.GRADES, 300)
+    plain = is_toxic & (np.arange(300) % 2 == 0)  # marked by the feature that all parts know
+    row, place = np.flatnonzero(plain), np.zeros(int(plain.sum()), np.int64)
+    grade = toxicity._agreed(row, place, np.ones(len(row)), is_toxic, part, 1)
+    assert (grade[~is_toxic] == 0).all() and (grade[plain] == grade.max()).all() and (grade[is_toxic & ~plain] == 1).all()
+    assert set(grade.tolist()) == set(range(int(grade.max()) + 1))
+
+
 def test_toxicity_of_odd_rows(spark, odd, nothing):
     docs, labels = planted(spark)
     model = toxicity.fit(docs, labels.unionByName(spark.createDataFrame([(None, 1), (3, None), (99999, 1)], "doc_id long, toxic int")))
@@ -146,11 +183,28 @@ def test_mix(spark, documents, odd, nothing):
         assert sum(r["size"] for r in own) == own[0]["source_size"] and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(mixing.sized(documents)).collect()))
     assert mixing.mix(mixing.sized(odd)).count() == odd.count() and mixing.mix(mixing.sized(nothing)).count() == 0
-    again = mixing.repeated(documents, mixing.mix(mixing.sized(documents)))
+    again = mixing.repeated(documents)
     assert again.columns == documents.columns
     assert sum(len(words(r["text"])) for r in again.collect()) == pytest.approx(sum(size.values()), rel=0.25)
 
 
+def test_mix_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 50)
+    rows = [(7, "a b c d", "x")] * 300 + [(None, f"n{i} b c", "x") for i in range(400)] + [(i, "one two " * (i % 9 + 1), "yz"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("times", F.lit("kept")).withColumn("copy", F.lit(3))
+    got = mixing.mix(mixing.sized(df)).collect()
+    assert len(got) == df.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    groups = {"x": 700 // 50, "y": 2, "z": 2}
+    for s in "xyz":
+        own = [r for r in got if r["source"] == s]
+        assert own[0]["source_size"] == sum(r["size"] for r in own) and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= groups[s]
+    again = mixing.repeated(df)
+    assert again.columns == df.columns and {(r["times"], r["copy"]) for r in again.collect()} == {("kept", 3)}
+    for s in "xyz":
+        target = next(r["target"] for r in got if r["source"] == s)
+        assert sum(len(words(r["text"])) for r in again.where(F.col("source") == s).collect()) == pytest.approx(target, rel=0.25)
+
+
 def test_shards(documents, odd, nothing):
     got = sharding.shard(documents).collect()
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
@@ -279,3 +333,22 @@ def test_pipeline_stages_on_odd_rows(spark, odd, nothing, small):
             assert got.count() <= 3 * df.count(), name
             assert name == "bpe" or got.columns == df.columns
     assert C.one_of_each_group(spark, odd, small).where("doc_id = 4").count() == 1
+
+
+def test_pipeline_stages_with_clashing_columns(spark, small):
+    import corpus_pipeline as C
+
+    names = ["gone", "_gone", "first", "times", "_times", "copy", "words", "size", "component_id", "id", "_copy", "row", "own", "rep", "lang_pred"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(5)).select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for name, stage in C.STAGES:
+        got = stage(spark, docs, small)
+        assert name == "bpe" or (got.columns == docs.columns and all(r[n] == f"kept {n}" for r in got.collect() for n in names)), name
+        assert got.count()
+
+
+def test_pipeline_runs_whole(spark, small):
+    import corpus_pipeline as C
+
+    got = C.run(spark, small).collect()
+    assert got and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} == set(got[0].asDict())
