@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators.ranges import running
+
 # The legal steps of a job, the sequence numbers of its states, and what each state means on recovery.
 STEPS = [
     ("prepared", "stage_intent"),
@@ -193,28 +198,41 @@ def peak_in_flight(requests: DataFrame, key: str, begin: str, end: str) -> DataF
 def progress(work: DataFrame, step: int, key: str = "disk_id") -> DataFrame:
     """Snapshots (disk_id, done) of a copy: when at least ``step`` bytes were done since the last one, and at the end.
 
-    The emission depends on the one before it, so a disk's cumulative sums are folded in order.
+    The emission depends on the one before it, so a disk's rows are folded in order as they stream by; nothing of a disk
+    is held but two numbers.
     """
-    w = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    done = work.withColumn("_done", F.sum("length").over(w).cast("long"))
-    ordered = done.groupBy(key).agg(F.array_sort(F.collect_list("_done")).alias("_all"))
-    zero = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
-
-    def fold(s: Column, x: Column) -> Column:
-        emit = x - s["last"] >= step
-        return F.struct(F.when(emit, x).otherwise(s["last"]).alias("last"), F.when(emit, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
 
-    folded = F.aggregate("_all", zero, fold, lambda s: F.array_union(s["out"], F.array(F.element_at("_all", -1))))
-    return ordered.select(key, F.explode(folded).alias("done"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, now, done, last, told_once = None, None, 0, 0, True
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            disks, told = [], []
+            for n, (disk, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if disk != now or (n == 0 and now is None):
+                    if not told_once or done != last:
+                        disks.append(now)
+                        told.append(done)
+                    now, done, last, told_once = disk, 0, 0, False
+                done += size or 0
+                if done - last >= step:
+                    disks.append(disk)
+                    told.append(done)
+                    last, told_once = done, True
+            yield pa.RecordBatch.from_arrays([pa.array(disks, kind), pa.array(told, pa.int64())], names=[key, "done"])
+        if not told_once or done != last:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([done], pa.int64())], names=[key, "done"])
+
+    rows = work.select(key, F.col("length").cast("long").alias("length"), "start").repartition(key).sortWithinPartitions(key, "start").select(key, "length")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, done long")
 
 
 def completion(work: DataFrame, key: str = "disk_id") -> DataFrame:
     """Each item's completed fraction of its disk; 1 for an empty disk."""
-    w = Window.partitionBy(key)
-    done = F.sum("length").over(w.orderBy("start").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("length").over(w)
+    totals = work.groupBy(F.col(key).alias("_k")).agg(F.sum("length").alias("_total"))
+    work = running(work, key, "start", F.col("length"), "_done").join(totals, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    done, total = F.col("_done"), F.col("_total")
     fraction = F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / total)))
-    return work.withColumn("fraction", fraction)
+    return work.withColumn("fraction", fraction).drop("_done", "_total")
 
 
 # Exit codes by status, and which of several errors counts: the last one that is there.

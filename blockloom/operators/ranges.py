@@ -1,12 +1,13 @@
 """Range algebra: clipping, splitting, coalescing, gaps, and joins of intervals.
 
-Extents are rows (disk_id, start, length, kind); ranges are half-open.  Everything stays inside a disk, so all windows
-are partitioned by it.
+Extents are rows (disk_id, start, length, kind); ranges are half-open.  Everything stays inside a disk, and what depends
+on the rows before is computed in stretches of ``WIDTH`` of a disk's order: a window in each stretch, and one over a row
+a stretch that carries on what the stretches before it leave.  So a large disk is many tasks' work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,41 @@ def end_of(start: str = "start", length: str = "length") -> Column:
     return F.col(start) + F.col(length)
 
 
+#: Offsets (or numbers, where rows are ordered by one) of a disk that are ordered together.
+WIDTH = 1 << 34
+
+
+def _dealt(rows: DataFrame, order: str, width: int) -> DataFrame:
+    return rows.withColumn("_b", F.floor(F.col(order) / width))
+
+
+def _carried(rows: DataFrame, key: str, left: Column, carry: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``_carried`` to dealt rows: what ``carry``, an aggregate over the stretches before, makes of what each of
+    them leaves."""
+    before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = rows.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_s")).agg(left.alias("_left")).select("_k", "_s", carry(F.col("_left")).over(before).alias("_carried"))
+    return rows.join(stretch, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_s"))).drop("_k", "_s")
+
+
+def preceded(rows: DataFrame, key: str, order: list[str], columns: list[str], width: int = 0) -> DataFrame:
+    """Adds ``_before``, the columns of the row before in the disk's order, null at its first."""
+    told = F.struct(*columns)
+    dealt = _carried(_dealt(rows, order[0], width or WIDTH), key, F.max_by(told, F.struct(*order)), lambda x: F.last(x, ignorenulls=True))
+    within = F.lag(told).over(Window.partitionBy(key, "_b").orderBy(*order))
+    return dealt.withColumn("_before", F.coalesce(within, F.col("_carried"))).drop("_carried", "_b")
+
+
+def running(rows: DataFrame, key: str, order: str, value: Column, name: str, last: int = 0, width: int = 0) -> DataFrame:
+    """Adds the sum of ``value`` over a disk's rows up to this one (``last`` 0) or the one before (-1)."""
+    dealt = _carried(_dealt(rows.withColumn("_v", value), order, width or WIDTH), key, F.sum("_v"), F.sum)
+    within = F.sum("_v").over(Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, last))
+    total = F.coalesce(within, F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    return dealt.withColumn(name, total.cast("long")).drop("_v", "_b", "_carried")
+
+
 def running_start(rows: DataFrame, key: str, order: str, length: str = "length") -> DataFrame:
     """Adds ``start``, the lengths of the rows before."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
+    return running(rows, key, order, F.col(length), "start", -1)
 
 
 def clip(extents: DataFrame, ranges: DataFrame, key: str = "disk_id") -> DataFrame:
@@ -40,9 +72,9 @@ def check_bounds(ranges: DataFrame) -> DataFrame:
 
 def coalesce_kind(extents: DataFrame, key: str = "disk_id") -> DataFrame:
     """Adjacent rows of one kind as one row, with the number of rows in it."""
-    w = Window.partitionBy(key).orderBy("start")
-    new = F.coalesce((F.col("kind") != F.lag("kind").over(w)) | (F.lag(end_of()).over(w) != F.col("start")), F.lit(True))
-    runs = extents.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = preceded(extents, key, ["start"], ["start", "length", "kind"])
+    follows = (F.col("kind") == F.col("_before.kind")) & (F.col("_before.start") + F.col("_before.length") == F.col("start"))
+    runs = running(rows, key, "start", (~F.coalesce(follows, F.lit(False))).cast("long"), "_run")
     return runs.groupBy(key, "_run", "kind").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_extents")).drop("_run")
 
 
@@ -51,13 +83,13 @@ def coalesce_physical(runs: DataFrame, key: str = "disk_id") -> DataFrame:
 
     Rows: start, length, backing (null: zero) and physical start.
     """
-    w = Window.partitionBy(key).orderBy("start")
-    before = {c: F.lag(c).over(w) for c in ("start", "length", "backing", "physical")}
+    rows = preceded(runs, key, ["start"], ["start", "length", "backing", "physical"])
+    before = {c: F.col(f"_before.{c}") for c in ("start", "length", "backing", "physical")}
     follows = before["start"] + before["length"] == F.col("start")
     both_zero = F.col("backing").isNull() & before["backing"].isNull()
     same = (F.col("backing") == before["backing"]) & (before["physical"] + before["length"] == F.col("physical"))
     new = ~F.coalesce(follows & (both_zero | same), F.lit(False))
-    marked = runs.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = running(rows, key, "start", new.cast("long"), "_run")
     return marked.groupBy(key, "_run", "backing").agg(
         F.min("start").alias("start"), F.sum("length").alias("length"), F.min("physical").alias("physical"), F.count("*").alias("n_runs")
     ).drop("_run")
@@ -65,18 +97,17 @@ def coalesce_physical(runs: DataFrame, key: str = "disk_id") -> DataFrame:
 
 def fill_gaps(extents: DataFrame, sizes: DataFrame, key: str = "disk_id") -> DataFrame:
     """The extents and zero extents for what lies between them, before the first and after the last."""
-    w = Window.partitionBy(key).orderBy("start")
     rows = extents.select(key, "start", "length", "kind").unionByName(sizes.select(key, F.col("size").alias("start"), F.lit(0).cast("long").alias("length"), F.lit("end").alias("kind")))
-    prev = F.coalesce(F.lag(end_of()).over(w), F.lit(0).cast("long"))
+    rows = preceded(rows, key, ["start"], ["start", "length"])
+    prev = F.coalesce(F.col("_before.start") + F.col("_before.length"), F.lit(0).cast("long"))
     gaps = rows.select(key, prev.alias("start"), (F.col("start") - prev).alias("length"), F.lit("zero").alias("kind")).where("length > 0")
     return extents.select(key, "start", "length", "kind").unionByName(gaps)
 
 
 def map_violations(extents: DataFrame, sizes: DataFrame, key: str = "disk_id") -> DataFrame:
     """(disk, check, position) for maps that don't tile their disk: empty, gap, overlap, beyond and short."""
-    w = Window.partitionBy(key).orderBy("start", "length")
-    prev = F.coalesce(F.lag(end_of()).over(w), F.lit(0).cast("long"))
-    rows = extents.join(sizes.select(key, "size"), key).withColumn("_prev", prev)
+    prev = F.coalesce(F.col("_before.start") + F.col("_before.length"), F.lit(0).cast("long"))
+    rows = preceded(extents, key, ["start", "length"], ["start", "length"]).join(sizes.select(key, "size"), key).withColumn("_prev", prev)
     found = F.array(
         F.when(F.col("length") == 0, "empty"), F.when(F.col("start") > F.col("_prev"), "gap"), F.when(F.col("start") < F.col("_prev"), "overlap"), F.when(end_of() > F.col("size"), "beyond")
     )
@@ -111,8 +142,9 @@ def point_lookup(points: DataFrame, extents: DataFrame, key: str = "disk_id") ->
     start carried forward.  Points outside every extent have nulls."""
     marks = extents.select(key, F.col("start").alias("_at"), F.lit(0).alias("_side"), F.struct("start", "length", "kind").alias("_e"), F.lit(None).cast("long").alias("point"))
     asked = points.select(key, F.col("point").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<start:bigint,length:bigint,kind:string>").alias("_e"), "point")
-    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(asked).withColumn("_e", F.last("_e", ignorenulls=True).over(w)).where("_side = 1")
+    dealt = _carried(_dealt(marks.unionByName(asked), "_at", WIDTH), key, F.max_by("_e", F.when(F.col("_side") == 0, F.col("_at"))), lambda x: F.last(x, ignorenulls=True))
+    w = Window.partitionBy(key, "_b").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_e", F.coalesce(F.last("_e", ignorenulls=True).over(w), F.col("_carried"))).where("_side = 1")
     inside = F.col("point") < F.col("_e.start") + F.col("_e.length")
     return found.select(key, "point", *[F.when(inside, F.col(f"_e.{c}")).alias(c) for c in ("start", "length", "kind")])
 
@@ -124,5 +156,7 @@ def unaligned(ranges: DataFrame, step: int) -> DataFrame:
 
 def overlapping_regions(regions: DataFrame, key: str = "disk_id") -> DataFrame:
     """Regions that the furthest end before them reaches into."""
-    w = Window.partitionBy(key).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
-    return regions.withColumn("reached", F.max(end_of()).over(w)).where("reached > start")
+    dealt = _carried(_dealt(regions.withColumn("_end", end_of()), "start", WIDTH), key, F.max("_end"), F.max)
+    w = Window.partitionBy(key, "_b").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.max("_end").over(w), F.col("_carried"))
+    return dealt.withColumn("reached", reached).drop("_end", "_b", "_carried").where("reached > start")
