@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators.planning import violations
+from blockloom.operators.support import checked_broadcast
 
 # What an exportable disk must be.
 FLAT_BACKING = "VirtualDiskFlatVer2BackingInfo"
@@ -123,7 +124,7 @@ def duplicate_properties(properties: DataFrame) -> DataFrame:
 def missing_properties(properties: DataFrame, required: DataFrame) -> DataFrame:
     """Required (kind, name) that an object of the kind does not tell."""
     objects = properties.select("object_id", "kind").distinct()
-    return objects.join(F.broadcast(required), "kind").join(properties.select("object_id", "name").distinct(), ["object_id", "name"], "left_anti").select("object_id", "name")
+    return objects.join(checked_broadcast(required), "kind").join(properties.select("object_id", "name").distinct(), ["object_id", "name"], "left_anti").select("object_id", "name")
 
 
 def failure_state(published: Column, synced: Column, created: Column, modified: Column) -> Column:
@@ -140,3 +141,22 @@ def failure_state(published: Column, synced: Column, created: Column, modified:
 def destination_issue(exists: Column, overwrite: Column, regular: Column, alias: Column, size: Column, needed: Column) -> Column:
     """Why a destination is refused, or null."""
     return F.when(~exists, None).when(~overwrite, "exists").when(~regular, "not a regular file").when(alias, "alias of the source").when(size < needed, "too small")
+
+
+def virtual_disks(devices: DataFrame) -> DataFrame:
+    """(object_id, key, capacity_bytes, issue) of the devices that are virtual disks (object_id, key, type,
+    capacity_kib, capacity_bytes): the bytes, or the KiB where they are not told; a capacity of zero, one whose units
+    contradict each other and one that is not whole sectors are issues."""
+    size = capacity_bytes(F.col("capacity_bytes"), F.col("capacity_kib"))
+    wrong = (size == 0) | (F.floor(size / 1024) != F.col("capacity_kib")) | (size % 512 != 0)
+    disks = devices.where("type = 'VirtualDisk'")
+    return disks.select("object_id", "key", size.cast("long").alias("capacity_bytes"), F.when(F.coalesce(wrong, F.lit(True)), "capacity").alias("issue"))
+
+
+def container_issues(artifacts: DataFrame, containers: DataFrame) -> DataFrame:
+    """(artifact, issue): artifacts (artifact, complete, container_bytes, digest) against containers observed afresh
+    (artifact, n_bytes, sha256): incomplete ones prove nothing, others must have the same size and digest."""
+    seen = containers.select("artifact", F.col("n_bytes").alias("_n"), F.col("sha256").alias("_s"))
+    same = (F.col("_n") == F.col("container_bytes")) & (F.col("_s") == F.col("digest"))
+    issue = F.when(~F.coalesce("complete", F.lit(False)), "incomplete").when(F.col("_n").isNull(), "missing").when(~F.coalesce(same, F.lit(False)), "content")
+    return artifacts.join(seen, "artifact", "left").select("artifact", issue.alias("issue"))

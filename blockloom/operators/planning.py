@@ -74,15 +74,19 @@ def request_issues(plans: DataFrame, ranges: DataFrame) -> DataFrame:
     """The first rule that a plan breaks, or null: plan_id, issue.
 
     ``plans``: plan_id, start, length, block, source and destination alignments (src_align, dst_align) and whether each
-    is direct (src_direct, dst_direct).  ``ranges``: plan_id, range_no, start, length of data.  Rules in order: block
-    size, end beyond the signed range, alignments that are no powers of two, then for each data range and direct
-    endpoint the range's alignment and, if it is split, the block's.
+    is direct (src_direct, dst_direct), and the alignment of buffers (buffer_align).  ``ranges``: plan_id, range_no,
+    start, length of data.  Rules in order: block size, end beyond the signed range, alignments that are no powers of
+    two, a buffer that cannot be laid out (the widest alignment is no power of two, or the block rounded up to it passes
+    the signed range), then for each data range and direct endpoint the range's alignment and, if it is split, the
+    block's.
     """
+    widest = F.greatest("src_align", "dst_align", "buffer_align")
     first = (
         F.when((F.col("block") <= 0) | (F.col("block") > 0xFFFFFFFF), "block_size")
         .when(F.try_add("start", "length").isNull(), "range")
         .when(~is_power_of_two(F.col("src_align")), "source_alignment")
         .when(~is_power_of_two(F.col("dst_align")), "destination_alignment")
+        .when(~is_power_of_two(widest) | (F.col("block") > F.lit((1 << 63) - 1) - (widest - 1)), "buffer_layout")
     )
     per_plan = plans.withColumn("_first", first)
     ends = F.explode(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions.binary import close
+from blockloom.functions.binary import close, finite_positive, strict_hex
+from blockloom.operators.planning import violations
 
 
 def run_medians(runs: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     q = q.select(*keys, *[F.col("_q")[i].alias(f"q{i + 1}") for i in range(3)])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     beyond = (F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)
-    return rows.join(F.broadcast(q) if len(keys) == 1 else q, keys).groupBy(*keys, "q1", "q2", "q3").agg(F.sum(beyond.cast("long")).alias("outliers"))
+    return rows.join(q, keys).groupBy(*keys, "q1", "q2", "q3").agg(F.sum(beyond.cast("long")).alias("outliers"))
 
 
 def completeness(rows: DataFrame, keys: list[str], tag: str, expected: int) -> DataFrame:
@@ -109,3 +110,31 @@ def broken_alternation(rows: DataFrame, pair: str, order: str, backend: str, fir
     place = (F.row_number().over(Window.partitionBy(pair).orderBy(order)) - 1) % 2
     expected = F.when((F.col(pair) + place) % 2 == 0, first).otherwise(second)
     return rows.withColumn("expected", expected).where(F.col(backend) != F.col("expected"))
+
+
+def evidence_violations(rows: DataFrame, keys: list[str], pairs: int, backends: list[str]) -> DataFrame:
+    """(keys, check) for every field of a measured digest that cannot be right: pair, backend, sizes, pattern, digest,
+    oracle, and times and memory that are not finite and positive."""
+    c = F.col
+    checks = [
+        ("pair", (c("pair") < 0) | (c("pair") >= pairs)),
+        ("backend", ~c("backend").isin(*backends)),
+        ("bytes", c("n_bytes") != c("expected_bytes")),
+        ("chunk", c("chunk") != c("expected_chunk")),
+        ("iterations", (c("iterations") <= 0) | (c("iterations") != c("expected_iterations"))),
+        ("pattern", c("sparse") != c("expected_sparse")),
+        ("digest", ~strict_hex(c("sha256"), 32) | (c("sha256") != c("expected_sha256"))),
+        ("oracle", ~c("oracle_passed")),
+        *[(x, ~finite_positive(c(x).cast("double"))) for x in ("wall_ms", "cpu_ms", "peak_rss_kib")],
+    ]
+    return violations(rows, keys, [(n, F.coalesce(x, F.lit(True))) for n, x in checks])
+
+
+def normalised_medians(rows: DataFrame, case: str, run: str, backend: str, stage: str, value: str, iterations: str, baseline: str, candidate: str) -> DataFrame:
+    """(case, baseline, candidate, change_percent): per repeated run (stage ``repeat``) the median of value / iterations,
+    of these the median, and the candidate's change."""
+    per = rows.where(F.col(stage) == "repeat").withColumn("_per", F.col(value) / F.col(iterations))
+    rounds = per.groupBy(case, run, backend).agg(F.median("_per").alias("_round"))
+    side = lambda b: F.median(F.when(F.col(backend) == b, F.col("_round")))
+    got = rounds.groupBy(case).agg(side(baseline).alias("baseline"), side(candidate).alias("candidate"))
+    return got.withColumn("change_percent", 100 * (F.col("candidate") / F.col("baseline") - 1))

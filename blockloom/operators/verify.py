@@ -27,8 +27,8 @@ def digests(rows: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def duplicates(digested: DataFrame) -> DataFrame:
-    """Digests that more than one payload has."""
-    return digested.groupBy("sha256").agg(F.count("*").alias("n_copies"), F.sum("n_bytes").cast("long").alias("total_bytes")).where("n_copies > 1")
+    """Digests, both of them, that more than one payload has; absent payloads are equal to each other."""
+    return digested.groupBy("sha256", "sha1").agg(F.count("*").alias("n_copies"), F.sum("n_bytes").cast("long").alias("total_bytes")).where("n_copies > 1")
 
 
 def ordered_digest(blocks: DataFrame, key: str = "disk_id", order: str = "block_no") -> DataFrame:
@@ -108,3 +108,16 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
         .when(told.isNull() | (told != F.when(kind == "sha256", F.col("_256")).otherwise(F.col("_1"))), "checksum")
     )
     return both.select("key", issue.alias("issue")).where("issue is not null")
+
+
+def mapped_bytes(extents: DataFrame, fixture: DataFrame, disk: DataFrame, key: str = "disk_id") -> DataFrame:
+    """(disk_id, file_offset, same): whether each mapped extent's bytes are the same in the fixture and on the disk.
+
+    ``extents``: disk_id, file_offset, disk_offset, length; ``fixture`` and ``disk``: disk_id, start, bytes, blocks of
+    the extents' lengths at their offsets.  A block that is missing or shorter is not the same.
+    """
+    f = fixture.select(key, F.col("start").alias("file_offset"), F.col("bytes").alias("_f"))
+    d = disk.select(key, F.col("start").alias("disk_offset"), F.col("bytes").alias("_d"))
+    both = extents.join(f, [key, "file_offset"], "left").join(d, [key, "disk_offset"], "left")
+    same = (F.octet_length("_f") == F.col("length")) & (F.col("_f") == F.col("_d"))
+    return both.select(key, "file_offset", F.coalesce(same, F.lit(False)).alias("same"))

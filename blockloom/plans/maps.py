@@ -143,7 +143,7 @@ def chain_walk(spark: SparkSession, sf: str) -> DataFrame:
     return overlay.walk_chain(spark.createDataFrame(LAYERS, "disk_id string, cid long, parent_cid long, size long, is_leaf boolean"))
 
 
-@query("""SELECT l_suppkey AS disk_id, l_partkey % 64 AS device, l_orderkey % 8 AS inode, count(*) AS n_layers FROM (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey FROM lineitem WHERE l_suppkey % 10 = 0) GROUP BY ALL HAVING count(*) > 1""")
+@query("""SELECT l_suppkey AS disk_id, l_partkey % 64 AS device, l_orderkey % 8 AS inode, count(*) AS n_layers FROM (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey FROM lineitem) GROUP BY ALL HAVING count(*) > 1""")
 def shared_identities(spark: SparkSession, sf: str) -> DataFrame:
     rows = X.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey").distinct()
     return overlay.shared_identities(rows.select(F.col("l_suppkey").alias("disk_id"), (F.col("l_partkey") % 64).alias("device"), (F.col("l_orderkey") % 8).alias("inode")))
@@ -173,17 +173,17 @@ def backend_selection(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("*", planning.select_backend(F.col("requested"), F.col("compatible"), F.col("issue")).alias("s")).select("requested", "compatible", "issue", "s.selected", "s.reason")
 
 
-@query(with_("extents", """, p AS (SELECT disk_id, size, CASE WHEN disk_id % 11 = 0 THEN 0 ELSE 4096 * (1 + disk_id % 3) END AS block, CASE WHEN disk_id % 7 = 0 THEN 768 ELSE 512 END AS sa, 1024 AS da, disk_id % 2 = 0 AS sd, disk_id % 5 = 0 AS dd FROM sizes),
-    r AS (SELECT e.disk_id, e.seq, e.start, e.length, p.block, x.n, x.nm, CASE WHEN x.n = 0 THEN sa ELSE da END AS al FROM extents e JOIN p USING (disk_id) CROSS JOIN (VALUES (0, 'source'), (1, 'destination')) x(n, nm)
-      WHERE e.kind = 'data' AND CASE WHEN x.n = 0 THEN sd ELSE dd END),
-    v AS (SELECT disk_id, seq, n, nm || CASE WHEN start % al <> 0 OR length % al <> 0 THEN '_range' WHEN length > block AND block % al <> 0 THEN '_block' END AS rule FROM r),
-    f AS (SELECT disk_id, arg_min(rule, (seq, n)) AS rule FROM v WHERE rule IS NOT NULL GROUP BY disk_id)
-    SELECT p.disk_id AS plan_id, CASE WHEN block = 0 THEN 'block_size' WHEN sa = 768 THEN 'source_alignment' ELSE f.rule END AS issue FROM p LEFT JOIN f USING (disk_id)"""))
+@query(with_("extents", """, p AS (SELECT disk_id, size, CASE WHEN disk_id % 11 = 0 THEN 0 ELSE 4096 * (1 + disk_id % 3) END AS block, CASE WHEN disk_id % 7 = 0 THEN 768 ELSE 512 END AS sa, 1024 AS da, CASE WHEN disk_id % 13 = 0 THEN 3000 ELSE 512 END AS ba, disk_id % 2 = 0 AS sd, disk_id % 5 = 0 AS dd FROM sizes),
+    r AS (SELECT e.disk_id, e.seq, e.start, e.length, p.block, 0 AS n, p.sa AS al FROM extents e JOIN p USING (disk_id) WHERE e.kind = 'data' AND sd UNION ALL SELECT e.disk_id, e.seq, e.start, e.length, p.block, 1, p.da FROM extents e JOIN p USING (disk_id) WHERE e.kind = 'data' AND dd),
+    v AS (SELECT disk_id, seq, n, 2 * n + CASE WHEN start % al <> 0 OR length % al <> 0 THEN 0 WHEN length > block AND block % al <> 0 THEN 1 END AS rule FROM r),
+    f AS (SELECT disk_id, arg_min(rule, seq * 2 + n) AS rule FROM v WHERE rule IS NOT NULL GROUP BY disk_id)
+    SELECT p.disk_id AS plan_id, CASE WHEN block = 0 THEN 'block_size' WHEN sa = 768 THEN 'source_alignment' WHEN ba = 3000 THEN 'buffer_layout' WHEN f.rule = 0 THEN 'source_range' WHEN f.rule = 1 THEN 'source_block' WHEN f.rule = 2 THEN 'destination_range' WHEN f.rule = 3 THEN 'destination_block' END AS issue
+    FROM p LEFT JOIN f ON f.disk_id = p.disk_id"""))
 def request_compatibility(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("disk_id")
     plans = X.sizes(spark, sf).select(
         d.alias("plan_id"), F.lit(0).cast("long").alias("start"), F.col("size").alias("length"), F.when(d % 11 == 0, 0).otherwise(4096 * (1 + d % 3)).alias("block"), F.when(d % 7 == 0, 768).otherwise(512).alias("src_align"),
-        F.lit(1024).alias("dst_align"), (d % 2 == 0).alias("src_direct"), (d % 5 == 0).alias("dst_direct"),
+        F.lit(1024).alias("dst_align"), F.when(d % 13 == 0, 3000).otherwise(512).alias("buffer_align"), (d % 2 == 0).alias("src_direct"), (d % 5 == 0).alias("dst_direct"),
     )
     data = X.extents(spark, sf).where("kind = 'data'").select(d.alias("plan_id"), F.col("seq").alias("range_no"), "start", "length")
     return planning.request_issues(plans, data)
@@ -242,9 +242,9 @@ def progress_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return progress(X.extents(spark, sf), 65536)
 
 
-@query("""SELECT sha256(encode(text)) AS sha256, count(*) AS n_copies, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT sha256(encode(text)) AS sha256, sha1(encode(text)) AS sha1, count(*) AS n_copies, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes FROM documents GROUP BY ALL HAVING count(*) > 1""")
 def content_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return verify.duplicates(verify.digests(X.payloads(spark, sf).where("payload is not null"), "doc_id", "payload"))
+    return verify.duplicates(verify.digests(X.payloads(spark, sf), "doc_id", "payload"))
 
 
 @query("""SELECT doc_id, sha256(unhex(array_to_string(list_transform(range(0, 8), lambda j: lpad(to_hex((octet_length(encode(source)) >> (8 * j)) & 255), 2, '0')), '')) || encode(source)

@@ -46,9 +46,10 @@ def stream_file(grains: dict[int, bytes]) -> bytes:
     return bytes(out + bytes(512))
 
 
-@query(with_("grains", """SELECT disk_id, grain, CASE WHEN grain % 9 > 0 THEN sector END AS first, CASE WHEN grain % 8 > 0 THEN sector + CASE WHEN grain % 7 = 0 THEN 1 ELSE 0 END END AS second FROM grains WHERE layer = 0 AND (grain % 9 = 0) <> (grain % 8 = 0) OR layer = 0 AND grain % 9 > 0 AND grain % 8 > 0 AND grain % 7 = 0"""))
+@query(with_("grains", """SELECT disk_id * 4 + layer AS disk_id, grain, CASE WHEN grain % 9 > 0 THEN sector END AS first, CASE WHEN grain % 8 > 0 THEN sector + CASE WHEN grain % 7 = 0 THEN 1 ELSE 0 END END AS second FROM grains WHERE (grain % 9 = 0) <> (grain % 8 = 0) OR (grain % 9 > 0 AND grain % 8 > 0 AND grain % 7 = 0)"""))
 def redundant_tables(spark: SparkSession, sf: str) -> DataFrame:
-    g = X.grains(spark, sf).where("layer = 0")
+    """A table for each layer of each disk, and its copy with grains missing and changed."""
+    g = X.grains(spark, sf).withColumn("disk_id", F.col("disk_id") * 4 + F.col("layer"))
     return streams.redundant_tables(g.where("grain % 9 > 0"), g.where("grain % 8 > 0").withColumn("sector", F.col("sector") + (F.col("grain") % 7 == 0).cast("int")))
 
 
@@ -86,7 +87,7 @@ def broken_alternation(spark: SparkSession, sf: str) -> DataFrame:
     return S.broken_alternation(rows, "pair", "event_id", "backend", "a", "b")
 
 
-@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'completed' WHEN 'signup' THEN 'cancelled' WHEN 'purchase' THEN CASE WHEN event_id % 200 = 0 THEN 'uncertain' ELSE 'completed' END ELSE CASE WHEN event_id % 90 = 0 THEN 'invalid_request' ELSE 'failed' END END AS status FROM events WHERE event_id % 30 = 0),
+@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'completed' WHEN 'signup' THEN 'cancelled' WHEN 'purchase' THEN CASE WHEN event_id % 200 = 0 THEN 'uncertain' ELSE 'completed' END ELSE CASE WHEN event_id % 90 = 0 THEN 'invalid_request' ELSE 'failed' END END AS status FROM events),
     o(status, k, code) AS (VALUES ('assessed', 1, 0), ('completed', 2, 0), ('invalid_request', 3, 2), ('output', 4, 1), ('cancelled', 5, 130), ('failed', 6, 1), ('uncertain', 7, 3)), r AS (SELECT user_id, max(k) AS k FROM s JOIN o USING (status) GROUP BY user_id)
     SELECT user_id, status, code FROM r JOIN o USING (k)""")
 def exit_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +112,7 @@ def byte_conservation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT user_id AS owner, CASE WHEN event_id % 19 = 0 THEN user_id + 1 ELSE user_id END AS entity, event_id // 2 AS reference, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'success' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'queued' ELSE 'lost' END AS state,
-    CASE event_id % 3 WHEN 0 THEN 'VirtualMachine.exportVm' WHEN 1 THEN 'vim.VirtualMachine.powerOff' ELSE 'X' END AS name FROM events WHERE user_id % 2 = 0 OR event_id < 400), w AS (SELECT *, count(*) OVER (PARTITION BY owner) AS n, count(*) OVER (PARTITION BY owner, reference) AS m FROM t)
+    CASE event_id % 3 WHEN 0 THEN 'VirtualMachine.exportVm' WHEN 1 THEN 'vim.VirtualMachine.powerOff' ELSE 'X' END AS name FROM events), w AS (SELECT *, count(*) OVER (PARTITION BY owner) AS n, count(*) OVER (PARTITION BY owner, reference) AS m FROM t)
     SELECT owner, reference, state, CASE name WHEN 'VirtualMachine.exportVm' THEN 'export_vm' WHEN 'vim.VirtualMachine.powerOff' THEN 'power_off' ELSE 'other' END AS operation, CASE WHEN n > 32 THEN 'too many' WHEN m > 1 THEN 'duplicate' WHEN entity <> owner THEN 'entity' WHEN state = 'lost' THEN 'state' END AS issue FROM w""")
 def recent_tasks(spark: SparkSession, sf: str) -> DataFrame:
     e, k = F.col("event_id"), F.col("event_type")

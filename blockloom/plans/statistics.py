@@ -76,10 +76,10 @@ def progress_extremes(spark: SparkSession, sf: str) -> DataFrame:
     return S.extremes(X.table(spark, sf, "events"), "user_id", "event_id", "value")
 
 
-@query("""(SELECT l_suppkey AS workload, 'left' AS only_in FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT l_suppkey, 'left' FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)
-    UNION ALL (SELECT l_suppkey, 'right' FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45 EXCEPT SELECT l_suppkey, 'right' FROM lineitem WHERE l_linestatus = 'F')""")
+@query("""(SELECT l_partkey AS workload, 'left' AS only_in FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT l_partkey, 'left' FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)
+    UNION ALL (SELECT l_partkey, 'right' FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45 EXCEPT SELECT l_partkey, 'right' FROM lineitem WHERE l_linestatus = 'F')""")
 def workload_sets(spark: SparkSession, sf: str) -> DataFrame:
-    l = X.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "workload")
+    l = X.table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "workload")
     return S.set_difference(l.where("l_linestatus = 'F'").select("workload").distinct(), l.where("l_returnflag = 'N' and l_quantity > 45").select("workload").distinct())
 
 

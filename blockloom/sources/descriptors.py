@@ -76,46 +76,46 @@ def parsed_lines(descriptors: DataFrame, variant: str = "flat") -> DataFrame:
     cid_shape = "^[0-9a-fA-F]{1,8}$" if sparse else "^[0-9a-fA-F]{8}$"
     v, k = F.col("value"), F.col("key")
     header = (
-        F.when(F.col("_reached") > 0, "header after extents")
-        .when(~k.isin("version", "cid", "parentcid", "createtype", "encoding", "parentfilenamehint"), "header key")
-        .when((k == "parentfilenamehint") & F.lit(variant != "chain"), "parent chain")
-        .when(k.isin("version", "cid", "parentcid") & F.col("is_quoted"), "header value quoting")
-        .when(k.isin("createtype", "encoding", "parentfilenamehint") & ~F.col("is_quoted"), "header value quoting")
+        F.when(F.col("_reached") > 0, "late header")
+        .when(~k.isin("version", "cid", "parentcid", "createtype", "encoding", "parentfilenamehint"), "unknown key")
+        .when((k == "parentfilenamehint") & F.lit(variant != "chain"), "unwanted parent")
+        .when(k.isin("version", "cid", "parentcid") & F.col("is_quoted"), "quoting")
+        .when(k.isin("createtype", "encoding", "parentfilenamehint") & ~F.col("is_quoted"), "quoting")
         .when((k == "version") & ~v.rlike("^[0-9]+$"), "number")
-        .when((k == "version") & (v.try_cast("long") != 1), "descriptor version")
+        .when((k == "version") & (v.try_cast("long") != 1), "unknown version")
         .when(k.isin("cid", "parentcid") & ~v.rlike(cid_shape), "number")
-        .when((k == "parentcid") & F.lit(variant != "chain") & (F.lower(F.lpad(v, 8, "0")) != "ffffffff"), "parent chain")
-        .when((k == "createtype") & ~F.lower(v).isin(*types), "create type")
+        .when((k == "parentcid") & F.lit(variant != "chain") & (F.lower(F.lpad(v, 8, "0")) != "ffffffff"), "unwanted parent")
+        .when((k == "createtype") & ~F.lower(v).isin(*types), "layout name")
         .when((k == "encoding") & (F.upper(v) != "UTF-8"), "encoding")
-        .when((k == "parentfilenamehint") & (v == ""), "empty parent hint")
+        .when((k == "parentfilenamehint") & (v == ""), "blank hint")
         .when(F.col("_again"), "duplicate")
     )
     data_base = (
-        F.when(F.col("_reached") == 0, "ddb before extents").when(~k.isin(*ddb), "ddb key").when(~F.col("is_quoted"), "ddb value must be quoted").when(F.col("_again"), "duplicate")
+        F.when(F.col("_reached") == 0, "early ddb").when(~k.isin(*ddb), "ddb name").when(~F.col("is_quoted"), "bare ddb").when(F.col("_again"), "duplicate")
     )
     kinds = ["SPARSE"] if sparse else ["FLAT", "ZERO"]
     n, kind = F.col("n_tokens"), F.col("type")
     extent = (
-        F.when(F.col("_reached") == 2, "extent after ddb")
-        .when(n < 3, "extent fields")
-        .when(~F.col("access").isin("RW", "RDONLY"), "extent access")
+        F.when(F.col("_reached") == 2, "late extent")
+        .when(n < 3, "field count")
+        .when(~F.col("access").isin("RW", "RDONLY"), "access mode")
         .when(F.col("sectors").isNull(), "number")
         .when(F.try_multiply("sectors", F.lit(512)).isNull(), "overflow")
         .when(F.col("sectors") == 0, "empty extent")
-        .when(~kind.isin(*kinds), "extent type")
-        .when((kind == "ZERO") & (n != 3), "extent fields")
-        .when((kind == "SPARSE") & ((n != 4) | F.col("file_name").isNull()), "extent fields")
-        .when((kind == "FLAT") & ((n != 5) | F.col("file_name").isNull()), "extent fields")
+        .when(~kind.isin(*kinds), "extent kind")
+        .when((kind == "ZERO") & (n != 3), "field count")
+        .when((kind == "SPARSE") & ((n != 4) | F.col("file_name").isNull()), "field count")
+        .when((kind == "FLAT") & ((n != 5) | F.col("file_name").isNull()), "field count")
         .when((kind == "FLAT") & F.col("backing_sector").isNull(), "number")
-        .when(F.col("file_name") == "", "empty filename")
-        .when(F.octet_length("file_name") > MOST["name"], "filename bytes")
+        .when(F.col("file_name") == "", "blank file")
+        .when(F.octet_length("file_name") > MOST["name"], "file bytes")
     )
     issue = (
         F.when(F.octet_length("raw") > MOST["line"], "line bytes")
         .when(F.regexp_replace("raw", "\t", "").rlike(r"[\x00-\x1F\x7F-\x9F]"), "encoding")
         .when(F.length(F.regexp_replace("text", '[^"]', "")) % 2 == 1, "unterminated quote")
-        .when(F.col("text").rlike(r'[^ \t="]"[^"]*"') & ~F.col("text").rlike(r'^(?:"[^"]*"|[^"])*$'), "missing token separator")
-        .when(n > 6, "too many tokens")
+        .when(F.col("text").rlike(r'[^ \t="]"[^"]*"') & ~F.col("text").rlike(r'^(?:"[^"]*"|[^"])*$'), "glued tokens")
+        .when(n > 6, "token count")
         .when(F.col("part") == "header", header)
         .when(F.col("part") == "ddb", data_base)
         .otherwise(extent)

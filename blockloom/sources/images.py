@@ -206,3 +206,52 @@ def block_kinds(blocks: DataFrame) -> DataFrame:
     """(disk_id, start, length, kind): blocks of zeros are holes, the others data; run islands merge them."""
     zero = ~F.hex("bytes").rlike("[1-9A-F]")
     return blocks.select("disk_id", "start", F.octet_length("bytes").cast("long").alias("length"), F.when(zero, "hole").otherwise("data").alias("kind"))
+
+
+def discover(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(disk_id, start, length, kind, issue): what is allocated of each disk, from its blocks (disk_id, start, bytes).
+
+    ``queries``: disk_id, size and size_after (before and after the scan), supported (whether every probe was answered).
+    Adjacent blocks of one kind are one extent.  If a probe was not supported the whole disk is one extent of data,
+    whatever was found before it; a disk that shrank meanwhile has no extents but one row with the issue ``shrunk``.
+    """
+    from blockloom.operators.ranges import coalesce_kind
+
+    shrunk = F.col("size_after") < F.col("size")
+    found = coalesce_kind(block_kinds(blocks)).select("disk_id", "start", "length", "kind")
+    sparse = found.join(queries.where(F.col("supported") & ~shrunk).select("disk_id"), "disk_id").withColumn("issue", F.lit(None).cast("string"))
+    dense = queries.where(~F.col("supported") & ~shrunk & (F.col("size") > 0)).select("disk_id", F.lit(0).cast("long").alias("start"), F.col("size").alias("length"), F.lit("data").alias("kind"), F.lit(None).cast("string").alias("issue"))
+    failed = queries.where(shrunk).select("disk_id", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("kind"), F.lit("shrunk").alias("issue"))
+    return sparse.unionByName(dense).unionByName(failed)
+
+
+#: Bytes of a file's end that a stream image with its directory there has: footer marker, footer, end marker.
+TAIL_BYTES = 1536
+
+
+def envelope_violations(images: DataFrame) -> DataFrame:
+    """(id, check) of stream images whose directory is at the end: (id, extent_bytes, head, tail, marker), the first 512
+    and last 1536 bytes and the sector before the directory.
+
+    The tail is a footer marker, the footer and an end marker; footer and header agree in all but the directory; the
+    directory ends where the tail begins, and its marker tells its size.
+    """
+    c = F.col
+    marker = lambda raw, at: (little_endian(raw, at, 8), little_endian(raw, at + 8, 4), little_endian(raw, at + 12, 4))
+    foot, end, before = marker(c("tail"), 0), marker(c("tail"), 1024), marker(c("marker"), 0)
+    head, tail = (lambda a, n: F.substring("head", a + 1, n)), (lambda a, n: F.substring("tail", 512 + a + 1, n))
+    at, capacity, grain = little_endian(c("tail"), 512 + 56, 8), little_endian(c("head"), 12, 8), little_endian(c("head"), 20, 8)
+    tables = ceil_div(F.try_divide(capacity, grain).cast("long"), TABLE_ENTRIES)
+    size = round_up(tables * 4)
+    # Directory places are at 48 to 63; what is before and after, to the end of the fields, agrees.
+    same = (head(0, 48) == tail(0, 48)) & (head(64, 15) == tail(64, 15))
+    checks = [
+        ("directory place", little_endian(c("head"), 56, 8) != -1),
+        ("length", (F.octet_length("head") != HEADER_BYTES) | (F.octet_length("tail") != TAIL_BYTES)),
+        ("footer marker", (foot[0] != 1) | (foot[1] != 0) | (foot[2] != 3)),
+        ("end marker", (end[0] != 0) | (end[1] != 0) | (end[2] != 0)),
+        ("agreement", ~same),
+        ("adjacency", at * 512 + size != c("extent_bytes") - TAIL_BYTES),
+        ("directory marker", (before[0] * 512 != size) | (before[1] != 0) | (before[2] != 2)),
+    ]
+    return violations(images, ["id"], [(n, F.coalesce(x, F.lit(True))) for n, x in checks])

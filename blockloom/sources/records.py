@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.functions.binary import finite_positive
+
 ARTIFACT = "schema_version int, artifact string, complete boolean, capacity bigint, encoded_bytes bigint, digest string"
 RUNS = "benchmark string, variant string, pair int, tag string, times array<double>, iters array<double>, median double"
 MOST_ARTIFACT_BYTES = 4096
@@ -104,3 +106,44 @@ def path_reports(rows: DataFrame) -> DataFrame:
     """(display, bytes_hex) of paths as bytes (path): bytes that are no UTF-8 are shown replaced, and in hexadecimal."""
     valid = F.is_valid_utf8(F.col("path").cast("string"))
     return rows.select("*", F.make_valid_utf8(F.col("path").cast("string")).alias("display"), F.when(~valid, F.lower(F.hex("path"))).alias("bytes_hex"))
+
+
+def artifact_bodies(rows: DataFrame) -> DataFrame:
+    """Adds the JSON text (body) of artifacts by the closed schema, absent digests left out; a text that is too long is
+    null: it must not be written."""
+    fields = [x.split()[0] for x in ARTIFACT.split(", ")]
+    body = F.to_json(F.struct(*[F.col(f) for f in fields]))
+    return rows.withColumn("body", F.when(F.octet_length(body) <= MOST_ARTIFACT_BYTES, body))
+
+
+def sample_issues(runs_: DataFrame) -> DataFrame:
+    """(tag, issue) for runs whose times and iterations are not arrays of one length, not empty, finite and positive."""
+    fine = lambda a: F.forall(a, lambda x: x.isNotNull() & finite_positive(x))
+    issue = (
+        F.when(F.coalesce(F.size("times") != F.size("iters"), F.lit(True)) | (F.size("times") < 1), "length")
+        .when(~fine(F.col("times")) | ~fine(F.col("iters")), "value")
+    )
+    return runs_.select("tag", issue.alias("issue")).where("issue is not null")
+
+
+def unexpected_calls(summary: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(run, call, calls, expected) where a run made a call more or less often than asserted; calls that are not asserted
+    may be any number, asserted calls that are missing were made 0 times."""
+    wanted = F.explode(F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v).cast("long"))]))
+    asked = summary.select("run").distinct().select("run", wanted.alias("call", "expected"))
+    made = summary.groupBy("run", "call").agg(F.sum("calls").alias("calls"))
+    return asked.join(made, ["run", "call"], "left").select("run", "call", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), "expected").where("calls <> expected")
+
+
+def property_pages(pages: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """(object_id, kind, name, value, issue) of retrieved pages (object_id, kind, body): the properties that are asked for
+    of the kind.  A page with a continuation token is part of an answer and gives one row with the issue ``partial``
+    and no property, one without a result ``shape``."""
+    told = "token string, properties struct<property: array<struct<name: string, val: string>>>"
+    p = F.from_xml("body", told)
+    issue = F.when(F.coalesce(p["token"], F.lit("")) != "", "partial").when(p["properties"].isNull(), "shape")
+    asked = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("kind")]
+    wanted = F.filter(p["properties"]["property"], lambda x: F.array_contains(asked, x["name"]))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("val")))
+    rows = pages.select("object_id", "kind", issue.alias("issue"), F.explode(F.when(issue.isNull(), wanted).otherwise(none)).alias("_p"))
+    return rows.select("object_id", "kind", "_p.name", F.col("_p.val").alias("value"), "issue")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import binary as B
 from blockloom.functions.fingerprint import KIND_CODE
-from blockloom.operators import inventory, journal, overlay, planning, ranges, verify
+from blockloom.operators import control, inventory, journal, overlay, planning, ranges, verify
+from blockloom.plans import fixtures as X
+from blockloom.plans import headers
 from blockloom.plans import records as plans
-from blockloom.sources import descriptors, images, records
+from blockloom.sources import descriptors, images, records, sinks
 
 MAP = "disk_id string, start long, length long, kind string"
 
@@ -147,23 +149,66 @@ def test_times(spark, text, ok):
 
 def test_each_header_rule_fires_for_its_own_damage(spark, small):
     got = {}
-    for r in plans.sparse_headers(spark, small).collect():
-        got.setdefault(r["id"], set()).add(r["check"])
-    assert "good" not in got and "no redundant" not in got
-    for damage, check in {"magic": "magic", "version": "version", "flags": "flags", "grain": "grain size", "capacity": "capacity", "entries": "table entries", "overhead": "overhead", "pair": "descriptor pair", "unclean": "unclean shutdown", "newline": "newline check", "compression": "compression", "reserved": "reserved bytes", "overlap": "overlap", "outside": "directory bounds", "odd redundant": "redundant without flag", "short": "header length", "small file": "overhead bounds"}.items():
-        assert check in got[damage], damage
+    for r in headers.sparse_headers(spark, small).collect():
+        got.setdefault(int(r["id"]) % headers.VARIANTS, set()).add(r["check"])
+    wanted = {1: "magic", 2: "version", 3: "flags", 6: "capacity", 8: "grain size", 9: "grain size", 10: "descriptor pair", 11: "table entries", 13: "overlap", 14: "directory bounds", 15: "footer directory", 16: "overhead", 18: "overhead bounds", 19: "unclean shutdown", 20: "newline check",
+              21: "compression", 22: "capacity limit", 23: "grain limit", 24: "reserved bytes"}
+    assert all(check in got[v] for v, check in wanted.items()) and got[0] <= {"overhead bounds", "header length"}
 
 
 def test_stream_header_rules(spark, small):
-    got = {(r["id"], r["check"]) for r in plans.stream_headers(spark, small).collect()}
-    assert {i for i, _ in got} == {"version", "flags", "grain", "compression", "capacity", "redundant"}
+    got = {}
+    for r in headers.stream_headers(spark, small).collect():
+        got.setdefault(int(r["id"]) % headers.VARIANTS, set()).add(r["check"])
+    assert all(check in got[v] for v, check in {1: "magic", 2: "version", 3: "flags", 4: "footer profile", 8: "geometry", 6: "capacity", 12: "overhead", 21: "compression"}.items()) and got[0] <= {"overhead", "header length", "footer profile"}
 
 
-def test_grain_tables(spark, small):
-    got = rows(plans.grain_tables(spark, small))
+def test_grain_tables_of_one_image(spark):
+    raw = bytearray(21 * 512) + struct.pack("<128I", 22, 0, *[0] * 126) + struct.pack("<512I", *[128 + 128 * i if i % 5 == 0 else 0 for i in range(512)])
+    struct.pack_into("<Q", raw, 12, 128 * 600)
+    struct.pack_into("<Q", raw, 20, 128)
+    struct.pack_into("<Q", raw, 56, 21)
+    got = rows(images.grain_tables(spark.createDataFrame([("image", bytearray(raw))], "id string, raw binary")))
     assert got == [("image", i, 128 + 128 * i) for i in range(0, 512, 5)]
 
 
+@pytest.mark.parametrize("width", [1, 700, 4096, 1 << 16])
+def test_stretches_of_a_disk_change_nothing(spark, small, monkeypatch, width):
+    """What windows over whole disks say, windows over stretches of them say as well."""
+    runs = X.mixed_runs(spark, small).where("layer = 0").select("disk_id", "start", "length", F.when(F.col("start") % 3 > 0, F.lit("b")).alias("backing"), F.col("start").alias("physical"))
+    regions = X.extents(spark, small).select("disk_id", "start", (F.col("length") + F.col("seq") % 3 * 20_000).alias("length"))
+    points = X.extents(spark, small).select("disk_id", (F.col("start") * 2 + 77).alias("point"))
+
+    def answers():
+        e, s, broken = X.extents(spark, small), X.sizes(spark, small), X.broken(spark, small)
+        asked = [ranges.coalesce_kind(e), ranges.coalesce_physical(runs), ranges.fill_gaps(broken, s), ranges.map_violations(broken, s), ranges.point_lookup(points, broken.where("seq % 103 <> 0 and length > 0")), ranges.overlapping_regions(regions), ranges.running_start(e.drop("start"), "disk_id", "seq"), journal.completion(e)]
+        return [sorted(str(tuple(r)) for r in x.collect()) for x in asked]
+
+    want = answers()
+    monkeypatch.setattr(ranges, "WIDTH", width)
+    assert answers() == want and all(want)
+
+
+def test_progress_is_told_at_steps_and_ends(spark):
+    work = spark.createDataFrame([(1, i, 10) for i in range(10)] + [(2, 0, 0), (3, 0, 5), (3, 5, 40)], "disk_id long, start long, length long")
+    assert sorted(map(tuple, journal.progress(work, 35).collect())) == [(1, 40), (1, 80), (1, 100), (2, 0), (3, 45)]
+
+
+def test_raw_parts_are_split_and_overlaps_raise(spark, tmp_path):
+    blocks = spark.createDataFrame([("d", 5, bytearray(b"abcdefgh")), ("d", 20, bytearray(b"xyz")), ("e", 0, bytearray(b"q")), ("e", 1, None), ("e", 9, bytearray(b""))], "disk_id string, start long, bytes binary")
+    files = {(r["disk_id"], r["part"]): open(r["path"], "rb").read() for r in sinks.write_raw(blocks, str(tmp_path / "a"), part=8).collect()}
+    assert files == {("d", 0): b"\0\0\0\0\0abc", ("d", 1): b"defgh", ("d", 2): b"\0\0\0\0xyz", ("e", 0): b"q"}
+    with pytest.raises(Exception, match="overlap"):
+        sinks.write_raw(blocks.unionByName(spark.createDataFrame([("d", 6, bytearray(b"z"))], blocks.schema)), str(tmp_path / "b"))
+
+
+def test_progress_events_by_hand(spark):
+    rows_ = [(1, 1, 0, 0), (1, 2, 5, 1), (1, 3, 9, 50), (1, 4, 9, 200), (1, 5, 11, 210), (1, 6, 11 + (64 << 20), 211), (2, 1, 7, 9)]
+    got = control.transferring_events(spark.createDataFrame(rows_, "copy_id long, seq long, bytes long, elapsed_ms long")).collect()
+    assert sorted((r["copy_id"], r["seq"]) for r in got) == [(1, 2), (1, 5), (1, 6), (2, 1)]
+
+
+
 def test_inflate_names_each_damage(spark, small):
     got = plans.inflate_check(spark, small).collect()
     want = {0: None, 1: "too short", 2: "truncated", 3: "trailing input", 4: "not zlib"}
@@ -187,9 +232,9 @@ def test_descriptor_variants(spark):
     stream = 'version=1\nCID=2\nparentCID=ffffffff\ncreateType="streamOptimized"\nRW 8 SPARSE "c"\nddb.toolsInstallType="4"'
     df = lambda body: spark.createDataFrame([("d", body)], "descriptor_id string, body string")
     assert descriptors.violations(df(chain), "chain").count() == 0
-    assert descriptors.violations(df(chain), "sparse").first()["issue"] == "parent chain"
+    assert descriptors.violations(df(chain), "sparse").first()["issue"] == "unwanted parent"
     assert descriptors.violations(df(stream), "stream").count() == 0
-    assert descriptors.violations(df(stream), "sparse").first()["issue"] == "create type"
+    assert descriptors.violations(df(stream), "sparse").first()["issue"] == "layout name"
     assert descriptors.violations(df(chain.replace('parentFileNameHint="base"\n', "")), "chain").first()["issue"] == "missing parent hint"
 
 

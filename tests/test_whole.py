@@ -24,7 +24,7 @@ def test_exit_codes_weigh_every_event(spark, small):
 def test_properties_are_those_of_every_event(spark, small):
     told = Counter((r["user_id"], r["event_type"]) for r in X.table(spark, small, "events").select("user_id", "event_type").collect())
     assert sorted(map(tuple, records.duplicate_properties(spark, small).collect())) == sorted((*k, n) for k, n in told.items() if n > 1)
-    missing = {(u, name) for u, _ in told for name in ("click", "view")} - set(told)
+    missing = {(u, name) for u, _ in told for name in ("click", "view", "resize")} - set(told)
     assert sorted((r["object_id"], r["name"]) for r in records.missing_properties(spark, small).collect()) == sorted(missing)
 
 
@@ -32,7 +32,7 @@ def test_missing_properties_look_at_every_event(spark, tmp_path):
     rows = [(1, 1, "click"), (2, 1, "view"), (40, 2, "click"), (41, 2, "view"), (3, 3, "error"), (80, 4, "view")]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     got = records.missing_properties(spark, str(tmp_path)).collect()
-    assert sorted((r["object_id"], r["name"]) for r in got) == [(3, "click"), (3, "view"), (4, "click")]
+    assert sorted((r["object_id"], r["name"]) for r in got) == sorted([(3, "click"), (3, "view"), (4, "click"), *((i, "resize") for i in (1, 2, 3, 4))])
 
 
 def test_shared_identities_are_those_of_every_disk(spark, small):
