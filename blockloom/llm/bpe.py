@@ -28,15 +28,17 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 
 #: Words held by a task's table of encoded words; a full table is emptied.
-WORDS_HELD = 250_000
+WORDS_HELD = 100_000
+#: Words that go through the automaton together; bounds the arrays (about 150 bytes a symbol).
+TOGETHER = 8_000
 #: Characters of text whose new words are encoded together.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 19
 
 
 def _pre_order(parent: np.ndarray, birth: np.ndarray) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
@@ -131,17 +133,21 @@ class Automaton:
             if alive[i] and (ended or not suffix):
                 last[at] = i + 1
         self._inner, self._last = np.array(inner, np.int64) - 1, np.array(last, np.int64) - 1
-        # One row a node that goes on, one column a symbol; node 0 is the end of all labels.
+        # The steps from node to node, sorted by node and symbol; node 0 is the end of all labels.
         symbols = sorted({c for _, c, _ in step})
         self._column = np.zeros(max(map(ord, symbols), default=0) + 2, np.int64)
         self._column[[ord(c) for c in symbols]] = np.arange(1, len(symbols) + 1)
-        goes_on = sorted({a for a, _, _ in step})
-        self._line = np.zeros(len(inner), np.int64)
-        self._line[goes_on] = np.arange(1, len(goes_on) + 1)
-        self._next = np.zeros((len(goes_on) + 1, len(symbols) + 1), np.int32)
-        if step:
-            start, symbol, to = zip(*step, strict=True)
-            self._next[self._line[list(start)], self._column[[ord(c) for c in symbol]]] = to
+        self._symbols = len(symbols) + 1
+        start, symbol, to = (list(x) for x in zip(*step, strict=True)) if step else ([], [], [])
+        key = np.array(start, np.int64) * self._symbols + self._column[[ord(c) for c in symbol]]
+        order = np.argsort(key)
+        self._key, self._to = key[order], np.array(to, np.int64)[order]
+
+    def _next(self, node: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The nodes that a symbol leads to, 0 where no label goes on."""
+        key = node * self._symbols + column
+        at = np.minimum(np.searchsorted(self._key, key), len(self._key) - 1)
+        return np.where(self._key[at] == key, self._to[at], 0)
 
     def leads(self, state: np.ndarray, label: np.ndarray) -> np.ndarray:
         """The transition table: whether the states that tokens ``state`` enter have the arcs ``label``."""
@@ -167,7 +173,7 @@ class Automaton:
         since, till, label = [], [], []
         here = at
         while len(at):
-            node = self._next[self._line[node], column[here]].astype(np.int64)
+            node = self._next(node, column[here])
             live = node > 0
             at, here, node = at[live], here[live] + 1, node[live]
             ends = here == stop[at]
@@ -269,8 +275,7 @@ class Encoder:
     """Texts to ids and back, as the tokenizer file says."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model = told["model"]
@@ -281,8 +286,6 @@ class Encoder:
             raise ValueError("post-processors and decoders are not supported")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        whole = Tokenizer.from_file(path)
-        self._normal, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
         if any(re.search(r"\s", x) for x in self.special):
             raise ValueError("special tokens with white space are not supported")
@@ -295,6 +298,13 @@ class Encoder:
         self._is_latin = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ\u2010-\u2027\u2030-\u205e]*").fullmatch
         self._bytes = {i: c for i, c in enumerate(_byte_symbols()) if chr(i) != c}
 
+    @cached_property
+    def _library(self):
+        """The library's normaliser and pre-tokenizer, read when a word first needs them: it holds the vocabulary again."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def symbols(self, piece: str) -> str:
         """A normal piece as the symbols of its bytes."""
         return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._bytes)
@@ -309,14 +319,19 @@ class Encoder:
         words = text.encode("utf-8", "surrogatepass").split()
         if len(words) > 1:
             return [x for w in words for x in self.pieces(w.decode("utf-8", "surrogatepass"))]
-        return ["\0" + p for p, _ in self._split(self._normal(text))]
+        normal = self._library.normalizer.normalize_str(text)
+        return ["\0" + p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def encode_pieces(self, pieces: list[str | int]) -> list[list[int]]:
         """The ids of each piece."""
-        words = ["" if isinstance(p, int) else p[1:] if p[0] == "\0" else self.symbols(p) for p in pieces]
-        ids, at = self.automaton.encode_words(words)
-        ids, at = ids.tolist(), at.tolist()
-        return [[p] if isinstance(p, int) else ids[a:b] for p, a, b in zip(pieces, at[:-1], at[1:], strict=True)]
+        out = []
+        for i in range(0, len(pieces), TOGETHER):
+            some = pieces[i : i + TOGETHER]
+            words = ["" if isinstance(p, int) else p[1:] if p[0] == "\0" else self.symbols(p) for p in some]
+            ids, at = self.automaton.encode_words(words)
+            ids, at = ids.tolist(), at.tolist()
+            out += [[p] if isinstance(p, int) else ids[a:b] for p, a, b in zip(some, at[:-1], at[1:], strict=True)]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return [i for ids in self.encode_pieces(list(self.pieces(text or ""))) for i in ids]
