@@ -1,11 +1,13 @@
 """Exact top-k inner-product search by ball trees, one per shard.
 
 Vectors become integers, floor(scale * x); scores are integer inner products, ties go to the smaller id, and a vector
-is never its own result.  Candidates are dealt by a hash of their id into shards of about ``SHARD`` vectors; each shard
-is a ball tree.  A query descends it by branch and bound: the bound of a node is q.centre + |q| * radius, children are
+is never its own result.  The top levels of one tree, built from at most about ``SAMPLE`` vectors, cut the space into
+cells; a cell's vectors are a shard, or several by a hash of their id if they are more than ``SHARD``.  Each shard is a
+ball tree.  A query descends it by branch and bound: the bound of a node is q.centre + |q| * radius, children are
 visited in order of their bound, and a node goes when its bound is below the current k-th score, or equal to it with no
-smaller id in the node.  The current k-th score is shared in two rounds: every query searches one shard first, and the
-k-th score found there starts the search of all the others.
+smaller id in the node.  The current k-th score is shared in two rounds: every query searches the shard where it lies
+itself first; with the k-th score found there it is sent on only to the shards of cells whose ball, with its true radius
+over all vectors, may hold as good a score.
 
 Queries are sent to shards in blocks, so a task holds one tree and one block of queries.  What a shard returns is at
 most k rows a query; they are merged by a ranking that keeps k rows at each step.
@@ -29,6 +31,9 @@ from pyspark.sql import functions as F
 from blockloom.llm.cluster import cut, runs, tidy
 
 SHARD = 4_096
+#: Vectors that the cells are laid out by, and so many of them at least for a cell.
+SAMPLE = 16_384
+CELL = 32
 BLOCK = 512
 LEAF = 128
 
@@ -121,6 +126,64 @@ def _scaled(column: pa.ChunkedArray, scale: float) -> np.ndarray:
     return np.floor(_matrix(column) * scale)
 
 
+class Cells:
+    """The top of a ball tree: halves of halves of a sample, a balanced binary tree in arrays."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.depth = max(0, int(np.log2(max(1, cells))))
+        n = (1 << self.depth) - 1
+        self.across, self.at = np.zeros((n, sample.shape[1])), np.zeros(n)
+        held = {0: sample}
+        for node in range(n):
+            v = held.pop(node)
+            a = v[int(((v - v.mean(axis=0)) ** 2).sum(axis=1).argmax())]
+            b = v[int(((v - a) ** 2).sum(axis=1).argmax())]
+            along = v @ (b - a)
+            self.across[node], self.at[node] = b - a, np.median(along)
+            right = along >= self.at[node]
+            if right.all():  # equal vectors: any halves will do
+                right = np.arange(len(v)) % 2 == 1
+            held |= {2 * node + 1: v[~right], 2 * node + 2: v[right]}
+        self.centre = np.stack([held[n + i].mean(axis=0) for i in range(1 << self.depth)])
+
+    def of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that the vectors lie in, and how far they are from the cells' centres."""
+        node = np.zeros(len(vectors), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", vectors, self.across[node]) >= self.at[node])
+        cell = node - ((1 << self.depth) - 1)
+        return cell, np.sqrt(((vectors - self.centre[cell]) ** 2).sum(axis=1))
+
+
+def _routed(cells: Cells, scale: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, away = cells.of(_scaled(batch.column(2), scale))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=["id", "asked", "vector", "cell", "away"])
+
+    return run
+
+
+def _open_cells(cells: Cells, radius: np.ndarray, scale: float):
+    """(id, kth, block, home, cell, vector) for the cells that may hold a score as good as a query's k-th."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = _scaled(batch.column(batch.schema.get_field_index("vector")), scale)
+            norm = np.sqrt((q**2).sum(axis=1))
+            bound = q @ cells.centre.T + norm[:, None] * radius[None, :]
+            bound += 1e-9 * np.abs(bound) + 1e-6
+            kth = np.array([-np.inf if x is None else x for x in batch.column(batch.schema.get_field_index("kth")).to_pylist()])
+            row, cell = np.nonzero((bound >= kth[:, None]) & (radius >= 0)[None, :])
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
 def _search(k: int, scale: float):
     def run(left: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, shard = None, None
@@ -157,24 +220,35 @@ def search(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.where(F.size("vector") == size["d"])
     shards = max(1, -(-size["count"] // SHARD))
-    of = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    base = rows.select(of.alias("shard"), F.lit(0).alias("side"), F.lit(0).alias("block"), "id", F.lit(None).cast("double").alias("kth"), "vector")
-    asked = rows.where("asked").groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = cut(asked)
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(min(1.0, SAMPLE / size["count"]) * (1 << 20)))
+    sample = _scaled(pa.chunked_array([drawn.select("vector").limit(2 * SAMPLE).toArrow().column(0).combine_chunks()]), scale)
+    cells = Cells(sample, min(shards, max(1, len(sample) // CELL)))
+    routed = cut(rows.select("id", "asked", "vector").mapInArrow(tidy(_routed(cells, scale)), "id long, asked boolean, vector array<double>, cell int, away double"))
+    radius, parts = np.full(len(cells.centre), -1.0), np.ones(len(cells.centre), np.int64)
+    for r in routed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():
+        radius[r["cell"]], parts[r["cell"]] = r["r"] * (1 + 1e-9) + 1e-6, -(-r["n"] // SHARD)
+    first_shard = F.array(*[F.lit(int(x)) for x in np.cumsum(parts) - parts])[F.col("cell")]
+    n_shards = F.array(*[F.lit(int(x)) for x in parts])[F.col("cell")]
+    home = (first_shard + F.pmod(F.xxhash64("id"), n_shards)).cast("int")
+    base = routed.select(home.alias("shard"), F.lit(0).alias("side"), F.lit(0).alias("block"), "id", F.lit(None).cast("double").alias("kth"), "vector")
+    asked = routed.where("asked").groupBy("id").agg(F.min(F.struct("vector", "cell")).alias("_v")).select("id", "_v.vector", "_v.cell")
+    asked = cut(asked.withColumn("home", home).drop("cell"))
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", 1 + F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int"))
+    total = int(parts.sum())
 
     def found(queries: DataFrame) -> DataFrame:
         both = base.unionByName(queries.select("shard", F.lit(1).alias("side"), "block", "id", "kth", "vector"))
-        dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "side", "block", "id")
+        dealt = both.repartition(total, "shard").sortWithinPartitions("shard", "side", "block", "id")
         return dealt.mapInArrow(tidy(_search(k, scale)), "query_id long, score long, vec_id long")
 
-    # Round one: the shard of the query's own vector.
-    first = cut(found(asked.withColumn("shard", of).withColumn("kth", F.lit(None).cast("double"))))
+    # Round one: the shard where the query lies.
+    first = cut(found(asked.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("double"))))
     known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
-    rest = asked.join(known, F.col("id") == F.col("query_id"), "left").withColumn("_home", of)
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> _home")
+    rest = asked.join(known, F.col("id") == F.col("query_id"), "left").select("id", "kth", "block", "home", "vector")
+    rest = rest.mapInArrow(tidy(_open_cells(cells, radius, scale)), "id long, kth double, block int, home int, vector array<double>, cell int")
+    rest = rest.withColumn("shard", F.explode(F.sequence(first_shard, first_shard + n_shards - 1).cast("array<int>"))).where("shard <> home")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    all_found = first.unionByName(found(rest)) if shards > 1 else first
+    all_found = first.unionByName(found(rest)) if total > 1 else first
     ranked = all_found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import words
 from pyspark.sql import functions as F
@@ -288,6 +289,22 @@ def test_top_k_by_brute_force(spark, small, monkeypatch, shard, leaf):
     assert got == sorted(want)
 
 
+def test_queries_are_sent_only_to_cells_that_may_hold_as_good_a_score():
+    rng = np.random.default_rng(6)
+    places = rng.normal(0, 3000, (8, 16))
+    v = np.floor(np.concatenate([p + rng.normal(0, 40, (200, 16)) for p in places]))
+    cells = topk.Cells(v[::3], 8)
+    cell, away = cells.of(v)
+    radius = np.array([away[cell == c].max(initial=-1) for c in range(8)])
+    q = v[:50]
+    kth = np.sort(q @ v.T, axis=1)[:, -10]
+    batch = pa.record_batch({"id": pa.array(range(50)), "kth": pa.array(kth), "vector": pa.array(list(q))})
+    (out,) = topk._open_cells(cells, radius, 1.0)(iter([batch]))
+    sent = set(zip(out.column("id").to_pylist(), out.column("cell").to_pylist(), strict=True))
+    assert len(sent) < 50 * 8 * 3 / 4  # the others are skipped
+    assert all((i, int(cell[j])) in sent for i in range(50) for j in np.flatnonzero(q[i] @ v.T >= kth[i]))
+
+
 def test_top_k_of_few_and_none(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet")
     assert topk.search(rows.where("vec_id < 4"), F.col("vec_id") % 100 == 0).count() == 3
