@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.operators.ranges import running
+from blockloom.operators.ranges import preceded, running
 
 # The legal steps of a job, the sequence numbers of its states, and what each state means on recovery.
 STEPS = [
@@ -74,21 +74,50 @@ OUTPUT_SEQUENCES = {
     "publish_intent": 7,
     "published": 8,
 }
+# The output states from which a cleanup may start, and the methods that are never refused.
+OUTPUT_CLEANABLE = ["staged", "convert_intent", "converted", "verify_intent", "verified", "published"]
+ALWAYS_SENT = ["Logout", "HttpNfcLeaseAbort"]
+MOST_REQUESTS = 4096
+#: Sequence or request numbers of a stretch.
+STRETCH = 1 << 16
+
+
+def output_steps() -> list[tuple[str, str]]:
+    """The legal steps of an output: each state to the next, a cleanable one to its cleanup, a cleanup to its end."""
+    states = list(OUTPUT_SEQUENCES)
+    return [*zip(states, states[1:], strict=False), *((s, "cleanup_intent") for s in OUTPUT_CLEANABLE), ("cleanup_intent", "cleaned")]
 
 
 def _map(values: dict) -> Column:
     return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])
 
 
-def steps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STEPS, "before string, state string")
+def illegal_steps(journal: DataFrame, key: str = "artifact", order: str = "sequence", legal: list[tuple[str, str]] = STEPS) -> DataFrame:
+    """Entries whose state may not follow the one before it.  Long journals go in stretches of ``STRETCH`` numbers, so one is not
+    one task."""
+    moved = preceded(journal, key, [order], ["state"], STRETCH).withColumn("before", F.col("_before.state")).drop("_before").where("before is not null")
+    steps = journal.sparkSession.createDataFrame(legal, "before string, state string")
+    return moved.join(F.broadcast(steps), ["before", "state"], "left_anti")
 
 
-def illegal_steps(journal: DataFrame, key: str = "artifact", order: str = "sequence") -> DataFrame:
-    """Entries whose state may not follow the one before it."""
-    w = Window.partitionBy(key).orderBy(order)
-    moved = journal.withColumn("before", F.lag("state").over(w)).where("before is not null")
-    return moved.join(F.broadcast(steps(journal.sparkSession)), ["before", "state"], "left_anti")
+def binding_issues(records: DataFrame, expected: DataFrame, key: str, bound: list[str]) -> DataFrame:
+    """(key, issue) of output records read back: the first of checksum (not intact), unasked (nothing expected under
+    this key), the bound field that differs, and operation (null or all zero); null for a record that may be used."""
+    told = expected.select(key, F.lit(True).alias("_asked"), *[F.col(c).alias(f"_{c}") for c in bound])
+    both = records.join(told, key, "left")
+    issue = F.when(~F.coalesce("intact", F.lit(False)), "checksum").when(F.col("_asked").isNull(), "unasked")
+    for c in bound:
+        issue = issue.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c)
+    return both.select(key, issue.when(F.coalesce("operation", F.lit("")).rlike("^0*$"), "operation").alias("issue"))
+
+
+def refused_requests(requests: DataFrame, key: str, order: str, method: str = "method", most: int = MOST_REQUESTS) -> DataFrame:
+    """Requests of a connection that are not sent since ``most`` were recorded before; those that end a session are.
+
+    Nothing is refused up to ``most``, so a request's number among all is its number among the recorded ones.
+    """
+    counted = running(requests, key, order, F.lit(1), "_sent", -1, STRETCH)
+    return counted.where((F.col("_sent") >= most) & ~F.col(method).isin(*ALWAYS_SENT)).drop("_sent")
 
 
 def record_violations(records: DataFrame, keys: list[str]) -> DataFrame:

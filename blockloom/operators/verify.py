@@ -26,6 +26,16 @@ def digests(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.select(key, F.sha2(data, 256).alias("sha256"), F.sha1(data).alias("sha1"), F.octet_length(data).cast("long").alias("n_bytes"))
 
 
+# The least payload with a header, and the header's first bytes.
+LEAST_PAYLOAD, MAGIC = 512, "KDMV"
+
+
+def payload_issue(payload: Column) -> Column:
+    """Why a downloaded payload is no image: short (absent is empty), magic (other first bytes), or null."""
+    data = F.coalesce(payload.cast("binary"), F.lit("").cast("binary"))
+    return F.when(F.octet_length(data) < LEAST_PAYLOAD, "short").when(F.substring(data, 1, len(MAGIC)) != F.lit(MAGIC).cast("binary"), "magic")
+
+
 def duplicates(digested: DataFrame) -> DataFrame:
     """Digests, both of them, that more than one payload has; absent payloads are equal to each other."""
     return digested.groupBy("sha256", "sha1").agg(F.count("*").alias("n_copies"), F.sum("n_bytes").cast("long").alias("total_bytes")).where("n_copies > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blockloom.plans import further, headers, maps, more, records, statistics  # noqa: F401
+from blockloom.plans import further, headers, maps, more, outputs, records, statistics  # noqa: F401
 from blockloom.plans.registry import ORACLES, QUERIES, Query
 
 

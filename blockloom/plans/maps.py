@@ -127,20 +127,22 @@ def budget_first_over(spark: SparkSession, sf: str) -> DataFrame:
     return overlay.over_budget(costs, 150_000, order="seq").select("disk_id", "seq", "total")
 
 
-LAYERS = [
-    ("ok", 1, 2, 4096, True), ("ok", 2, 3, 4096, False), ("ok", 3, None, 4096, False), ("gone", 1, 9, 512, True), ("cycle", 1, 2, 512, True), ("cycle", 2, 1, 512, False),
-    ("size", 1, 2, 512, True), ("size", 2, None, 1024, False), ("base", 7, None, 512, True),
-]
+_LAYERS = """c AS (SELECT c_custkey AS d, c_custkey % 17 + 1 AS n FROM customer), i AS (SELECT d, n, unnest(generate_series(1, n)) AS i FROM c),
+    l AS (SELECT d AS disk_id, i AS cid, CASE WHEN i < n THEN i + 1 WHEN d % 5 = 0 THEN 999 WHEN d % 7 = 0 THEN 1 END AS parent_cid, CASE WHEN d % 11 = 0 AND i > 2 THEN 1024 ELSE 512 END AS size, i = 1 AS is_leaf FROM i)"""
 
 
-@query("""WITH RECURSIVE l(disk_id, cid, parent_cid, size, is_leaf) AS (VALUES ('ok', 1, 2, 4096, true), ('ok', 2, 3, 4096, false), ('ok', 3, NULL, 4096, false), ('gone', 1, 9, 512, true), ('cycle', 1, 2, 512, true), ('cycle', 2, 1, 512, false),
-    ('size', 1, 2, 512, true), ('size', 2, NULL, 1024, false), ('base', 7, NULL, 512, true)),
-    w AS (SELECT disk_id, 0 AS depth, CAST(cid AS BIGINT) AS cid, CAST(parent_cid AS BIGINT) AS parent_cid, CAST(size AS BIGINT) AS size, [CAST(cid AS BIGINT)] AS seen FROM l WHERE is_leaf
-    UNION ALL SELECT w.disk_id, w.depth + 1, l.cid, l.parent_cid, l.size, list_append(w.seen, CAST(l.cid AS BIGINT)) FROM w JOIN l ON l.disk_id = w.disk_id AND l.cid = w.parent_cid WHERE NOT list_contains(w.seen, CAST(l.cid AS BIGINT)) AND l.size = w.size AND w.depth < 15)
-    SELECT w.disk_id, w.depth, w.cid, w.parent_cid, w.size, CASE WHEN w.parent_cid IS NULL THEN NULL WHEN p.cid IS NULL THEN 'missing parent' WHEN list_contains(w.seen, w.parent_cid) THEN 'cycle' WHEN p.size <> w.size THEN 'capacity' END AS issue
+@query(f"""WITH RECURSIVE {_LAYERS}, w AS (SELECT disk_id, 0 AS depth, cid, parent_cid, CAST(size AS BIGINT) AS size, [cid] AS seen FROM l WHERE is_leaf
+    UNION ALL SELECT w.disk_id, w.depth + 1, l.cid, l.parent_cid, CAST(l.size AS BIGINT), list_append(w.seen, l.cid) FROM w JOIN l ON l.disk_id = w.disk_id AND l.cid = w.parent_cid WHERE NOT list_contains(w.seen, l.cid) AND l.size = w.size AND w.depth < 15)
+    SELECT w.disk_id, w.depth, w.cid, w.parent_cid, w.size, CASE WHEN w.parent_cid IS NULL THEN NULL WHEN p.cid IS NULL THEN 'missing parent' WHEN list_contains(w.seen, w.parent_cid) THEN 'cycle' WHEN p.size <> w.size THEN 'capacity' WHEN w.depth = 15 THEN 'depth' END AS issue
     FROM w LEFT JOIN l p ON p.disk_id = w.disk_id AND p.cid = w.parent_cid""")
 def chain_walk(spark: SparkSession, sf: str) -> DataFrame:
-    return overlay.walk_chain(spark.createDataFrame(LAYERS, "disk_id string, cid long, parent_cid long, size long, is_leaf boolean"))
+    """A chain of 1 to 17 layers a customer: some end at a missing parent, in a cycle, at another size, or are too long."""
+    d, n, i = F.col("disk_id"), F.col("n"), F.col("cid")
+    chains = X.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("disk_id"), (F.col("c_custkey") % 17 + 1).cast("long").alias("n"))
+    layers = chains.select("disk_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("cid"))
+    parent = F.when(i < n, i + 1).when(d % 5 == 0, 999).when(d % 7 == 0, 1).cast("long")
+    size = F.when((d % 11 == 0) & (i > 2), 1024).otherwise(512).cast("long")
+    return overlay.walk_chain(layers.select("disk_id", "cid", parent.alias("parent_cid"), size.alias("size"), (i == 1).alias("is_leaf")))
 
 
 @query("""SELECT l_suppkey AS disk_id, l_partkey % 64 AS device, l_orderkey % 8 AS inode, count(*) AS n_layers FROM (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey FROM lineitem) GROUP BY ALL HAVING count(*) > 1""")

@@ -268,3 +268,28 @@ def test_stream_records_source(spark, tmp_path):
     assert [(r["kind"], r["sector"]) for r in good.orderBy("record").collect()] == [("grain", 0), ("grain", 256), ("grain", 1024), ("end", None)]
     assert streams.violations(good).count() == 0
     assert sorted((r["record"], r["check"]) for r in streams.violations(df).collect()) == [(1, "no end"), (1, "order")]
+
+
+def test_output_steps_and_long_journals(spark):
+    legal = journal.output_steps()
+    assert ("prepared", "stage_intent") in legal and ("verified", "cleanup_intent") in legal and ("publish_intent", "cleanup_intent") not in legal and ("cleaned", "prepared") not in legal
+    # The one illegal step is between two stretches.
+    n = journal.STRETCH
+    rows = spark.createDataFrame([("a", n - 2, "staged"), ("a", n - 1, "convert_intent"), ("a", n, "verified"), ("b", n, "cleaned"), ("c", 0, None), ("c", 1, "staged")], "artifact string, sequence long, state string")
+    assert [(r["artifact"], r["sequence"], r["before"]) for r in journal.illegal_steps(rows, legal=legal).collect()] == [("a", n, "convert_intent")]
+    assert journal.illegal_steps(rows.limit(0), legal=legal).count() == 0
+
+
+def test_refused_requests_at_the_bound(spark):
+    rows = spark.createDataFrame([("x", i, "Logout" if i % 3 == 0 else "Login") for i in range(10)] + [("y", 0, "Login")], "connection string, request long, method string")
+    assert sorted(r["request"] for r in journal.refused_requests(rows, "connection", "request", most=4).collect()) == [4, 5, 7, 8]
+    assert journal.refused_requests(rows, "connection", "request", most=10).count() == 0
+
+
+def test_bindings_and_payloads_with_nulls(spark):
+    told = spark.createDataFrame([("a", "s", True, "01"), ("b", None, True, "01"), ("c", None, True, None), ("d", "s", None, "01"), ("e", "s", True, "01")], "key string, store string, intact boolean, operation string")
+    expected = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", None), ("d", "s")], "key string, store string")
+    got = {r["key"]: r["issue"] for r in journal.binding_issues(told, expected, "key", ["store"]).collect()}
+    assert got == {"a": None, "b": "store", "c": "operation", "d": "checksum", "e": "unasked"}
+    rows = spark.createDataFrame([(0, b"KDMV" + bytes(508)), (1, b"KDMV" + bytes(507)), (2, bytes(512)), (3, None)], "i int, p binary")
+    assert {r["i"]: r["x"] for r in rows.select("i", verify.payload_issue(rows["p"]).alias("x")).collect()} == {0: None, 1: "short", 2: "magic", 3: "short"}
