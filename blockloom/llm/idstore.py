@@ -21,13 +21,14 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,8 +38,12 @@ from pyspark.sql import functions as F
 from blockloom.llm.cluster import cut, shared_folder, tidy
 
 FRAME_BYTES = 256 << 10
-#: Words held by a task's table of encoded words; a full table is emptied.
+#: Words held by a worker's table of encoded words; a full table is emptied.
 WORDS_HELD = 800_000
+#: Pieces held by its table of pieces, likewise.
+PIECES_HELD = 500_000
+#: New words that are cut into pieces together.
+TOGETHER = 100_000
 #: Rows of one id that one file may have to hold.
 HOT = 10_000
 #: Bytes of text whose new words are looked up together.
@@ -49,8 +54,8 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
-#: Letters whose runs the pre-tokenizer never splits.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+").fullmatch
+#: Words of printable ASCII and composed Latin letters, which the normaliser only lowers.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-įı-ſ]*").fullmatch
 
 
 def _store(path: str):
@@ -167,36 +172,80 @@ class _Words(dict):
         self.of.no_padding()
         self.of.encode_special_tokens = False
         vocab = self.of.get_vocab(with_added_tokens=False)
-        suffix = json.loads(self.of.to_str())["model"].get("end_of_word_suffix") or ""
+        told = json.loads(self.of.to_str())
+        suffix = told["model"].get("end_of_word_suffix") or ""
         if not suffix:
             raise ValueError("the vocabulary does not mark the ends of words")
         self.ends = np.zeros(max(self.of.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.split = _splitter(told)
+        added = [re.escape(x["content"]) for x in told["added_tokens"]]
+        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda _: None
+        #: Piece -> bytes of its ids.
+        self.pieces: dict[str, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encodes new words in a few calls: white space separates words here, so each keeps its own ids.
 
-        A word of letters alone is one piece, and a piece ends with a token that ends a word, so their ids are told
-        apart by these tokens; other words' ids by the places that the library tells.
+        Words of simple letters are put together from their pieces, of which there are far fewer; a piece ends with a
+        token that ends a word, so the pieces' ids are told apart by these tokens, other words' ids by the places that
+        the library tells.
         """
-        for i in range(0, len(words), 20_000):
-            texts = [w.decode() for w in words[i : i + 20_000]]
-            plain = [t for t in texts if t.isalpha() and _LATIN(t)]
-            other = [t for t in texts if not (t.isalpha() and _LATIN(t))]
-            if plain:
-                ids = np.array(self.of.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-                self._keep(plain, ids, np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)))
-            if other:
-                start = np.cumsum([0, *(len(t) + 1 for t in other)])
-                found = self.of.encode(" ".join(other), add_special_tokens=False)
-                owner = np.searchsorted(start, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
-                self._keep(other, np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(other) + 1)))
-
-    def _keep(self, texts: list[str], ids: np.ndarray, at: np.ndarray) -> None:
-        if len(at) != len(texts) + 1:
-            raise ValueError("words and ids do not match")
-        data, at = ids.tobytes(), (4 * at).tolist()
-        self.update(zip([t.encode() for t in texts], [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+        plain = [bool(self.split and _SIMPLE(w)) and not self.added(w) for w in words]
+        low = "\n".join(compress(words, plain)).lower().split("\n")
+        parts = [self.split(t) for t in low] if any(plain) else []
+        self._learn_pieces(parts)
+        get = self.pieces.__getitem__
+        self.update(zip(compress(words, plain), [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
+        other = [w for w, p in zip(words, plain, strict=True) if not p]
+        for i in range(0, len(other), 20_000):
+            some = other[i : i + 20_000]
+            start = np.cumsum([0, *(len(t) + 1 for t in some)])
+            found = self.of.encode(" ".join(some), add_special_tokens=False)
+            owner = np.searchsorted(start, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
+            self.update(zip(some, _dealt(len(some), found.ids, np.searchsorted(owner, np.arange(len(some) + 1))), strict=True))
+
+    def _learn_pieces(self, parts: list[list[str]]) -> None:
+        new = set(chain.from_iterable(parts)).difference(self.pieces)
+        if len(self.pieces) + len(new) > PIECES_HELD:
+            self.pieces.clear()
+            new = set(chain.from_iterable(parts))
+        new = list(new)
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            ids = self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            self.pieces.update(zip(some, _dealt(len(some), ids, np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))), strict=True))
+
+
+def _splitter(told: dict) -> Callable[[str], list[str]] | None:
+    """Cuts a lowered simple word into the pieces that the file's pattern makes of it; none if the file's normaliser
+    or pattern are of another kind."""
+    normal = told["normalizer"] or {}
+    for x in normal.get("normalizers", [normal]):
+        if x.get("type") not in ("NFC", "Lowercase") and not (x.get("type") == "Replace" and x["pattern"] == {"Regex": "\\s+"}):
+            return None
+    before = told["pre_tokenizer"] or {}
+    steps = before.get("pretokenizers", [before])
+    if [x.get("type") for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return None
+    letters = "a-zß-öø-ÿĀ-ſ"
+    pattern = steps[0]["pattern"].get("Regex", "")
+    for theirs, ours in ((r"[^\s\p{L}\p{N}]+", f"[^\\s{letters}0-9]+"), (r"[\p{L}]+", f"[{letters}]+"), (r"[\p{N}]", "[0-9]")):
+        if pattern.count(theirs) != 1:
+            return None
+        pattern = pattern.replace(theirs, ours)
+    # What is left besides must be plain: the endings after an apostrophe.
+    rest = pattern.replace(f"[^\\s{letters}0-9]+", "").replace(f"[{letters}]+", "").replace("[0-9]", "")
+    lowers = any(x.get("type") == "Lowercase" for x in normal.get("normalizers", [normal]))
+    return re.compile(pattern).findall if lowers and re.fullmatch("['a-z|]*", rest) else None
+
+
+def _dealt(n: int, ids: list[int], at: np.ndarray) -> list[bytes]:
+    """The ids of each of ``n`` words, which begin at the places ``at``, as bytes."""
+    if len(at) != n + 1 or at[-1] != len(ids):
+        raise ValueError("words and ids do not match")
+    data, at = np.array(ids, "<u4").tobytes(), (4 * at).tolist()
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -207,25 +256,38 @@ def _words(path: str) -> _Words:
 def encoded(texts: list[bytes | None], path: str, end_id: int) -> Iterator[bytes]:
     """The ids of each text and the end id, as bytes."""
     table, end = _words(path), struct.pack("<I", end_id)
-    held: list[list[bytes]] = []
-    size = 0
 
-    def flush() -> Iterator[bytes]:
-        new = set(chain.from_iterable(held)).difference(table)
+    def flush(held: list[bytes]) -> Iterator[bytes]:
+        # Each distinct word is looked up once; Arrow finds them and puts their ids in all their places.
+        split = pc.ascii_split_whitespace(pa.array(held, pa.large_binary()).view(pa.large_string()))
+        words = split.values.dictionary_encode()
+        if not len(words):
+            yield from [end] * len(held)
+            return
+        # Joined, for one string leaves Arrow far faster than many.
+        whole = pa.LargeListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int64()), words.dictionary)
+        distinct = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+        new = [w for w in distinct if w not in table]
         if len(table) + len(new) > WORDS_HELD:
             table.clear()
-            new = set(chain.from_iterable(held))
-        table.learn(list(new))
-        for words in held:
-            yield b"".join(map(table.__getitem__, words)) + end
-
+            new = distinct
+        for i in range(0, len(new), TOGETHER):
+            table.learn(new[i : i + TOGETHER])
+        _, offsets, data = pa.array(list(map(table.__getitem__, distinct)), pa.large_binary()).take(words.indices).buffers()
+        at = np.frombuffer(offsets, "<i8", len(words) + 1)[split.offsets.to_numpy()].tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield data[a:b].to_pybytes() + end
+
+    held: list[bytes] = []
+    size = 0
     for t in texts:
-        held.append(t.split() if t else [])
+        held.append(t or b"")
         size += len(t or b"")
         if size >= TEXT_BYTES:
-            yield from flush()
+            yield from flush(held)
             held, size = [], 0
-    yield from flush()
+    if held:
+        yield from flush(held)
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +335,8 @@ def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     n = files.count()
     placed = files.selectExpr("part", "path", "coalesce(sum(tokens) over (order by part rows between unbounded preceding and 1 preceding), 0) as start")
-    placed = placed.repartition(max(1, 4 * n), "part").select("path", "start")
+    # A file a task, by ranges: parts are distinct, and a task without a file costs as much Python as one with a small file.
+    placed = placed.repartitionByRange(max(1, n), "part").select("path", "start")
     return placed.mapInArrow(tidy(run), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 

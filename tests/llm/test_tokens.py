@@ -142,3 +142,71 @@ def test_the_table_of_words_may_be_small(tokenizer, monkeypatch):
     texts = ["one two three", "four five six seven eight nine", "one", None, "ten eleven"]
     want = [np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
     assert list(idstore.encoded([None if t is None else t.encode() for t in texts], tokenizer, 2)) == want
+
+
+def test_words_of_every_kind_are_the_librarys(tokenizer):
+    """Words put together from pieces and words told apart by places, each alone and all in one text."""
+    lib, rng = Tokenizer.from_file(tokenizer), random.Random(7)
+    kinds = ["'s 't 're 've 'm 'll 'd 'S'T 'RE don't DON'T x'lls '' ''s 's's 'dd'd 'r 'v'e", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> <|endoftext| |>", "ÀÖØÞß ſt ŉ ĸ Ÿ İi ı Ĳ ×÷ a×b", "12 1a2 a,1.b ½ ٣ a_b __", "\x7f \x1cx\x1d a\u0301b \u0301 e\u0301'S ＡＢ \u00a0x\u00a0 \x85", "mail1.00@a.example.com https://x.y/?q=%20&z#-- ,,,$$$ a\x00b"]
+    letters = ["'", "s", "S", "re", "LL", "9", ".", ",<|", "|>", "é", "É", "ſ", "Ł", "ß", "\u0301", "日", " ", " ", "\x0b", "\n", "endoftext", "_"]
+    texts = STRANGE + kinds + [w for k in kinds for w in k.split()] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    want = [np.array([*e.ids, 2], "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    idstore._words.cache_clear()
+    assert list(idstore.encoded([t.encode() for t in texts], tokenizer, 2)) == want
+    assert list(idstore.encoded([" ".join(texts).encode()], tokenizer, 2)) == [b"".join(w[:-4] for w in want) + want[0][-4:]]
+    assert list(idstore.encoded([None, b"", b" \n "], tokenizer, 2)) == [want[0][-4:]] * 3
+    assert list(idstore.encoded([], tokenizer, 2)) == []
+
+
+def test_a_piece_goes_to_the_library_once(tokenizer, monkeypatch):
+    """However many words hold it, in whatever case and with whatever marks; a full table of pieces is emptied."""
+
+    class Counted:
+        def __init__(self, of):
+            self.of, self.given = of, []
+
+        def encode(self, text, **how):
+            self.given += text.split()
+            return self.of.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.given += [w for t in texts for w in t.split()]
+            return self.of.encode_batch_fast(texts, **how)
+
+    idstore._words.cache_clear()
+    words = idstore._words(tokenizer)
+    monkeypatch.setattr(words, "of", Counted(words.of))
+    marks = [",", ".", "!!", "$$$"]
+    for text in ("alpha Alpha ALPHA " + " ".join(f"{w}{m}" for w in ("alpha", "Größe") for m in marks), "größe, ALPHA! (alpha)"):
+        list(idstore.encoded([text.encode()], tokenizer, 2))
+    assert sorted(words.of.given) == sorted(["alpha", "größe", *marks, "!", "(", ")"])
+    monkeypatch.setattr(idstore, "PIECES_HELD", 3)
+    monkeypatch.setattr(idstore, "TOGETHER", 2)
+    text = "beta gamma, (delta) alpha; beta:gamma=delta"
+    assert list(idstore.encoded([text.encode()], tokenizer, 2)) == [np.array([*words.of.of.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()]
+    idstore._words.cache_clear()
+
+
+def test_a_file_of_another_kind_is_not_cut_into_pieces(tokenizer, tmp_path):
+    """Here digits stay together and letters keep their case, so only the library knows the pieces."""
+    import json
+
+    with open(tokenizer, encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"] = {"type": "NFC"}
+    told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    lib = Tokenizer.from_file(str(path))
+    text = "Alpha 123 a1b2 Größe, don't <|endoftext|>x"
+    assert list(idstore.encoded([text.encode()], str(path), 2)) == [np.array([*lib.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()]
+
+
+def test_a_task_reads_a_file(documents, tokenizer, tmp_path, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = idstore.write(documents, tokenizer, str(tmp_path / "several"), end_id=2)
+    rows = idstore.read(files)
+    sizes = rows.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1
+    assert sorted(sizes) == sorted(r["docs"] for r in files.collect())
